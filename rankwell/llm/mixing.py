@@ -186,8 +186,8 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     rows = materialize(rows, "mix-placed")
     slots = _taken_blocks(spark, source, told, spec).select("sid", "block", "words")
     part = _pieces(rows.select("doc_id", "sid", "size", "start"), spec).join(slots, ["sid", "block"], "left")
-    got = F.greatest(F.lit(0), F.least(F.col("n"), F.col("words") - F.col("at")))
-    taken = part.groupBy("sid", "start", "doc_id", "size").agg(F.sum(F.coalesce(got, F.lit(0))).alias("taken"))
+    got = F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce("words", F.lit(0)) - F.col("at")))
+    taken = part.groupBy("sid", "start", "doc_id", "size").agg(F.sum(got).alias("taken"))
     empty = rows.where("size = 0").select("sid", "start", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     by = F.broadcast(source.select("sid", "source_size", "target"))
     return taken.unionByName(empty).join(by, "sid").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))

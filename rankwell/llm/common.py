@@ -84,7 +84,7 @@ def n_words(text: Column) -> Column:
     return F.when(text.isNull() | (squeezed == ""), F.lit(0)).otherwise(blanks + 1).cast("long")
 
 
-def buckets_for(rows: int, size: int = 20_000) -> int:
+def buckets_for(rows: int, size: int = 4096) -> int:
     """Number of hash buckets so that one holds about ``size`` rows, a power of two."""
     n = 1
     while n * size < rows:

@@ -157,7 +157,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, lis
     place = lambda blocks, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(blocks)).cast("int")
     spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     tiles = rows.withColumn("rb", place(row_blocks, 1)).withColumn("qb", spread(query_blocks))
-    asked = queries.withColumn("qb", place(query_blocks, 2))
+    asked = queries.select(F.col("id").alias("id"), F.col("v").alias("v")).withColumn("qb", place(query_blocks, 2))
     schema = "query_id long, vec_id long, score long"
 
     def met(q: DataFrame, fn) -> DataFrame:

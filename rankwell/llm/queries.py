@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .media import media_features, store
 from .mixing import mix
+from .neardup import NearSpec, near_duplicates
 from .packing import pack
 from .quality import score_documents
 from .tokens import token_counts
@@ -53,6 +54,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), NearSpec(words=3, percent=85, bands=25, rows=5))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_topk": op3_exact_topk,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,
 }

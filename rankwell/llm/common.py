@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -96,3 +97,9 @@ def bucket_of(h: Column, n: int) -> Column:
     """Bucket by the top bits of a 64-bit hash, so bucket order follows hash order."""
     bits = n.bit_length() - 1
     return (F.lit(0) if bits == 0 else F.shiftright(h, 64 - bits) + F.lit(n // 2)).cast("int")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the cleaner drop the shuffle files of finished steps, which else stay until a driver's own collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -138,7 +138,7 @@ def _taken_blocks(spark: SparkSession, source: DataFrame, told: list[dict], spec
     return slots.select("sid", mapped.alias("block"), "epoch", "shard", words.cast("long").alias("words"))
 
 
-def _placed(docs: DataFrame, spec: MixSpec, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, list[dict]]:
+def _placed(docs: DataFrame, spec: MixSpec, keep: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame, list[dict]]:
     """Documents with size, source and ``start`` (words before it in its source), and the sources.
 
     Prefix sums in two levels: over hash buckets of a source, then within a
@@ -203,17 +203,16 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     """
     spark = docs.sparkSession
     columns = docs.columns
-    other = tuple(c for c in columns if c not in ("doc_id", "source"))
-    rows, source, told = _placed(docs, spec, other)
+    rows, source, told = _placed(docs, spec, (F.struct(*columns).alias("row"),))  # in one column, no name clashes
     rows = materialize(rows, "mix-placed")
     slots = _taken_blocks(spark, source, told, spec)
     part = _pieces(rows.select("sid", "size", "start"), spec).join(slots, ["sid", "block"])
     part = part.withColumn("got", F.least(F.col("n"), F.col("words") - F.col("at"))).where("got > 0")
     spans = part.groupBy("sid", "start", "epoch").agg(F.sum("got").alias("got"), F.sort_array(F.collect_list(F.struct("lo", "got"))).alias("spans"))
-    words = F.split(F.trim(F.regexp_replace(F.translate("text", "\t\n\u000b\f\r", "     "), " {2,}", " ")), " ")
+    text = F.col("row")["text"]
+    words = F.split(F.trim(F.regexp_replace(F.translate(text, "\t\n\u000b\f\r", "     "), " {2,}", " ")), " ")
     some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(F.col("words"), s["lo"].cast("int") + 1, s["got"].cast("int")))), " ")
     out = rows.where("size > 0").join(spans, ["sid", "start"]).withColumn("words", F.when(F.col("got") < F.col("size"), words))
-    out = out.withColumn("text", F.when(F.col("got") < F.col("size"), some).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.join(F.broadcast(source.select("sid", "source")), "sid").select(*columns)
+    out = out.withColumn("new", F.when(F.col("got") < F.col("size"), some).otherwise(text))
+    made = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
+    return out.select(*(made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in columns))

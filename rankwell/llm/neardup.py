@@ -257,3 +257,20 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     out = sketched.select("doc_id", "n_shingles", "digest").join(of, (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id.
+
+    Of rows that share an id, one stays; rows with a null id all stay.
+    """
+    found = near_duplicates(docs, spec)
+    gone = materialize(found.where(~F.col("kept")).select(F.col("component_id"), F.col("doc_id").alias("gone")), "near-gone").select("gone").distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+    twice = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("twice"))
+    twice = materialize(twice, "near-twice")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, kept["doc_id"] == twice["twice"], "left_anti")
+    return once.unionByName(kept.join(twice, kept["doc_id"] == twice["twice"], "left_semi").dropDuplicates(["doc_id"]))

@@ -188,15 +188,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Additiv
     return fit(np.array(found["x"].tolist()), found["quality"].to_numpy(np.float64))
 
 
-def with_score(docs: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``quality_score``, in one pass without a shuffle."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
+def with_score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", name: str = "quality_score") -> DataFrame:
+    """``docs`` with the column ``name`` (not one of its own), in one pass without a shuffle."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([features(t.as_py()) for t in b.column(place)], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x), pa.float64())], names=[*b.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x), pa.float64())], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -213,3 +213,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     slim = docs.select("doc_id", "text")
     scored = with_score(slim, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return with_score(docs, train(docs, labels), name=name).where(F.col(name) >= threshold).drop(name)

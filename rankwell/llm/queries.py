@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html import main_text
 from .media import media_features, store
 from .mixing import mix
 from .neardup import NearSpec, near_duplicates
 from .packing import pack
 from .quality import score_documents
+from .substring import substring_dedup
 from .tokens import token_counts
 from .topk import top_k
 from .urls import Rule, judge_urls
@@ -54,6 +56,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearSpec(words=3, percent=85, bands=25, rows=5))
 
@@ -72,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_topk": op3_exact_topk,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_packing": op9_packing,
     "op10_url_filter": op10_url_filter,

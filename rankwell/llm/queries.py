@@ -15,7 +15,7 @@ from .quality import score_documents
 from .substring import substring_dedup
 from .tokens import token_counts
 from .topk import top_k
-from .urls import Rule, judge_urls
+from .urls import Rule, TreeSpec, judge_urls
 
 RULES = [
     Rule("block", "com", "/en/"),
@@ -89,4 +89,81 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _op3_sql(every: int = 20, k: int = 20, scale: int = 64) -> str:
+    return f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({scale}::DOUBLE * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * r.v[i]))::BIGINT AS score
+  FROM v q JOIN v r ON q.vec_id % {every} = 0 AND q.vec_id <> r.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY rank <= {k}"""
+
+
+def _op6_sql(words: int = 35) -> str:
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), p AS (
+  SELECT r, i, md5(array_to_string(w[i:i + {words - 1}], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(w) - {words} + 2)) AS i)
+), g AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, i + o AS i FROM p SEMI JOIN g USING (h), range({words}) t(o)),
+x AS (SELECT r, i, w[i] AS word FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM x ANTI JOIN c USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)"""
+
+
+def _op8_sql(percent: int = 85) -> str:
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 1))) AS i) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= {percent} * (na.n + nb.n - x)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+def _op10_sql(rules: list[Rule], spec: TreeSpec = TreeSpec()) -> str:
+    told = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in rules)
+    levels, last = [], "t0"
+    for d in range(spec.depth + 1):
+        levels.append(f"""k{d} AS (SELECT host, template, count(DISTINCT segs[{d + 1}]) > {spec.children} AS many FROM {last} WHERE segs[{d + 1}] IS NOT NULL GROUP BY 1, 2),
+t{d + 1} AS (SELECT {last}.* REPLACE (CASE WHEN segs[{d + 1}] IS NULL THEN {last}.template ELSE {last}.template || '/' || CASE WHEN many THEN '*' ELSE segs[{d + 1}] END END AS template) FROM {last} LEFT JOIN k{d} USING (host, template))""")
+        last = f"t{d + 1}"
+    return rf"""
+WITH u AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path, row_number() OVER () AS r FROM pages
+), rules(verdict, h, p) AS (VALUES {told}),
+m AS (
+  SELECT r, arg_max(h || p, (length(h || p), h || p)) AS rule, arg_max(verdict, (length(h || p), h || p)) AS told
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r
+), s AS (
+  SELECT u.*, rule, told, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM u LEFT JOIN m USING (r)
+), g AS (
+  SELECT *, list_concat(list_transform(parts[1:{spec.depth}], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' || regexp_extract(x, '(\.[A-Za-z]+)$', 1) ELSE x END), CASE WHEN len(parts) > {spec.depth} THEN ['**'] ELSE [] END) AS segs FROM s
+), a AS (SELECT *, array_to_string(segs, '/') AS key FROM g),
+t0 AS (SELECT host, key, any_value(segs) AS segs, count(told)::DOUBLE AS n, count(*) FILTER (WHERE told = 'block')::DOUBLE AS b, '' AS template FROM a GROUP BY 1, 2),
+{", ".join(levels)},
+o AS (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, sum(n) AS n, sum(b) AS b FROM {last} GROUP BY 1, 2, 3),
+q AS (SELECT *, sum(n) OVER w AS pn, sum(b) OVER w AS pb FROM o WINDOW w AS (PARTITION BY host, parent)),
+e AS (SELECT *, n > 0 AND (b * pn - n * pb) * (b * pn - n * pb) <= {spec.z2} * n * pb * (pn - pb) AS alike FROM q),
+f AS (SELECT host, template, CASE WHEN alike THEN sum(n) FILTER (WHERE alike) OVER w ELSE n END AS n, CASE WHEN alike THEN sum(b) FILTER (WHERE alike) OVER w ELSE b END AS b FROM e WINDOW w AS (PARTITION BY host, parent)),
+j AS (SELECT host, key, f.b + {spec.smooth} >= {spec.purity} * (f.n + 2 * {spec.smooth}) AS rejected FROM {last} JOIN f USING (host, template))
+SELECT page_id, host, path, rule, coalesce(told, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict FROM a JOIN j USING (host, key)"""
+
+
+#: Not here: a codec, tokenizers, a trained model, keyed permutations and a markup parser are beyond SQL.
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_topk": _op3_sql(),
+    "op6_substring_dedup": _op6_sql(),
+    "op8_near_duplicates": _op8_sql(),
+    "op10_url_filter": _op10_sql(RULES),
+}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path
+from .common import materialize, new_path
 
 #: Entries of a worker's chunk memo; beyond it the memo starts afresh.
 MEMO_ENTRIES = 400_000
@@ -215,7 +215,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: CountCache | None = Non
     counted = texts.mapInArrow(_counter(tokenizer), "digest binary, n_tokens long")
     cache.append(counted.dropDuplicates(["digest"]), version)
 
-    stored = cache.read(version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that the join below shuffles plain tables on both sides, which adaptive execution can split
+    stored = cache.read(version).join(one.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = materialize(stored, "token-stored")
     rows = base.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return rows.join(stored, "digest").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from .scan import as_of, block_sums
 
 
@@ -32,16 +33,16 @@ def fair_chunks(df: DataFrame, idx: str, weight: str, target: int) -> DataFrame:
     bounds, n = next_bounds(df, idx, weight, target)
     if not n:
         return spark.createDataFrame([], schema)
-    step = bounds.where(F.col("lo") < n).persist()
-    reached = spark.createDataFrame([(0, 0)], "chunk long, lo long")
-    jump, size = step, 1
+    # every round is written, else the plans would double with the jumps
+    step = materialize(bounds.where(F.col("lo") < n), "chunk-jumps")
+    reached, jump, size = spark.createDataFrame([(0, 0)], "chunk long, lo long"), step, 1
     while True:
         # chunks 0 .. size - 1 are known; jump leads size chunks on
         more = reached.join(jump, "lo").select((F.col("chunk") + size).alias("chunk"), F.col("hi").alias("lo")).where(F.col("lo") < n)
-        more = more.persist()
+        more = materialize(more, "chunks")
         if more.isEmpty():
             break
         reached = reached.unionByName(more)
-        far = jump.select(F.col("lo").alias("a"), F.col("hi").alias("lo")).join(jump, "lo").select(F.col("a").alias("lo"), "hi")
-        jump, size = far.persist(), 2 * size
+        far = jump.select(F.col("lo").alias("a"), F.col("hi").alias("lo")).join(jump.select("lo", "hi"), "lo").select(F.col("a").alias("lo"), "hi")
+        jump, size = materialize(far, "chunk-jumps"), 2 * size
     return reached.join(step, "lo").select("chunk", "lo", "hi")

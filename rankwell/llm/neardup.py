@@ -6,8 +6,9 @@ are dropped once the posterior chance that they are similar falls below the
 chosen miss probability; survivors are confirmed on their full shingle sets.
 
 No bucket emits all its pairs.  First every member meets its bucket's pivot; what is
-confirmed merges.  Then only pairs across the components of a bucket are left, and
-of these the ones with a member outside the bucket's largest component suffice.
+confirmed merges.  Then only pairs across the components of a bucket are left; of
+these the ones with a member outside the bucket's largest component suffice, and
+shingles that no other document has rule out most of them exactly.
 """
 
 from __future__ import annotations
@@ -169,14 +170,29 @@ class _Candidates:
         met = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
         return met.mapInArrow(_bayes(self.spec), "a long, b long, equal int")
 
-    def texts(self, pairs: DataFrame) -> DataFrame:
-        """(id, text) of the documents in ``pairs``."""
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        ids = materialize(ids, "near-ids")
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of the documents in ``ids``."""
+        ids = materialize(ids.distinct(), "near-ids")
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         rows = self.docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("text").isNotNull())
         return materialize(rows.join(ids, "id", "left_semi"), "near-texts")
 
+    def unshared(self, texts: DataFrame) -> DataFrame:
+        """(id, own): how many shingles of each document no other one of ``texts`` has."""
+        words = self.spec.words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, len(b), 64):
+                    part = b.slice(at, 64)
+                    sets = [shingles(t.as_py().encode("utf-8", "surrogatepass"), words).view(np.int64) for t in part.column(1)]
+                    ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets), pa.int64())], names=["id", "shingle"])
+
+        each = texts.mapInArrow(run, "id long, shingle long")
+        once = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+        return once.groupBy("id").agg(F.count("*").alias("own"))
+
     def confirm(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """(a, b): the pairs whose full shingle sets are similar enough."""
         one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
@@ -196,17 +212,44 @@ def _crossing(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return out.where("ca != cb").drop("ca", "cb")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """Rows (key, rep, c) of the buckets that hold several components c, with the largest as ``large``."""
+    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c"))["c"].alias("large")).where("parts > 1")
+    return placed.join(materialize(largest.select("key", "large"), "near-largest"), "key")
+
+
+def _across(open_: DataFrame, spec: NearSpec) -> DataFrame:
+    """Pairs of a bucket that could still link two of its components.
+
+    A document's ``own`` shingles are in no other document of an open bucket.
+    Of ``size`` shingles x shares at most size - own with any y, and the union of x and
+    y holds the own ones of both: pairs that this keeps below the threshold are left
+    out.  Of the others, those with a member outside the largest component suffice.
+    """
+    shared = F.col("size") - F.col("own")
+    x = open_.where("c != large").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("own").alias("ox"), shared.alias("sx"))
+    y = open_.select(F.col("key").alias("k"), F.col("rep").alias("y"), F.col("c").alias("cy"), "large", F.col("own").alias("oy"), shared.alias("sy"))
+    possible = F.least("sx", "sy") * 100 >= (F.greatest("sx", "sy") + F.col("ox") + F.col("oy")) * spec.percent
+    met = (F.col("key") == F.col("k")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("large")) | (F.col("x") < F.col("y"))) & possible
+    return x.join(y, met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def link_classes(docs: DataFrame, reps: DataFrame, spec: NearSpec) -> DataFrame:
-    """(node, component) of the representatives that have links."""
+    """(node, component) of the representatives (rep, size, bands, sig) that have links."""
     check = _Candidates(docs, reps, spec)
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "key").alias("o"), "rep"))["rep"].alias("pivot")).where("n > 1")
-    members = materialize(keyed.join(buckets, "key"), "near-members")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot")).where("n > 1")
+    members = materialize(keyed.join(materialize(buckets, "near-buckets"), "key"), "near-members")
 
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = members.where("rep != pivot").select(*ordered(F.col("rep"), F.col("pivot"))).distinct()
+    pairs = members.where("rep != pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    pairs = materialize(pairs, "near-pairs")
     likely = materialize(check.prune(pairs), "near-likely")
-    texts = check.texts(likely)
+    texts = check.texts(_ends(likely))
 
     # each document's likeliest pair first; of the others, those that still join two components
     ends = likely.select(F.col("a").alias("x"), "*").unionByName(likely.select(F.col("b").alias("x"), "*"))
@@ -219,18 +262,17 @@ def link_classes(docs: DataFrame, reps: DataFrame, spec: NearSpec) -> DataFrame:
 
     # buckets of three and more that still hold several components
     placed = _labelled(members.where("n > 2").select("key", "rep"), components, "rep", "c")
-    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "c"))["c"].alias("large")).where("parts > 1")
-    open_ = materialize(placed.join(largest.select("key", "large"), "key"), "near-open")
-    stray = open_.where("c != large").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"))
-    other = open_.select(F.col("key").alias("k"), F.col("rep").alias("y"), F.col("c").alias("cy"), "large")
-    across = stray.join(other, (F.col("key") == F.col("k")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("large")) | (F.col("x") < F.col("y"))))
-    across = across.select(*ordered(F.col("x"), F.col("y"))).distinct()
-    across = across.join(pairs, ["a", "b"], "left_anti")  # those were compared above
+    open_ = materialize(_open(placed), "near-open")
+    own = check.unshared(check.texts(open_.select(F.col("rep").alias("id"))))
+    able = open_.select("rep").distinct().join(reps.groupBy("rep").agg(F.max("size").alias("size")), "rep")
+    able = able.join(own.withColumnRenamed("id", "rep"), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    able = materialize(able.where((F.col("size") - F.col("own")) * 100 >= F.col("size") * spec.percent), "near-able")
+    open_ = materialize(_open(open_.select("key", "rep", "c").join(able, "rep")), "near-open")
+    across = _across(open_, spec).join(pairs, ["a", "b"], "left_anti")  # those were compared above
     likely = materialize(check.prune(across), "near-likely")
     if likely.isEmpty():
         return components
-    last = materialize(check.confirm(likely, check.texts(likely)), "near-links")
+    last = materialize(check.confirm(likely, check.texts(_ends(likely))), "near-links")
     return connected_components(links.unionByName(more).unionByName(last))
 
 
@@ -251,7 +293,7 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     known = sketched.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     first = known.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
-    reps = materialize(first.select("digest", "rep", "bands", "sig").dropDuplicates(["digest"]), "near-classes")
+    reps = materialize(first.select("digest", "rep", F.col("n_shingles").alias("size"), "bands", "sig").dropDuplicates(["digest"]), "near-classes")
     components = link_classes(rows, reps, spec)
     of = _labelled(reps.select(F.col("digest").alias("d"), "rep"), components, "rep", "component")
     out = sketched.select("doc_id", "n_shingles", "digest").join(of, (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull(), "left")

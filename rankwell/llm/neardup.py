@@ -8,7 +8,7 @@ chosen miss probability; survivors are confirmed on their full shingle sets.
 No bucket emits all its pairs.  First every member meets its bucket's pivot; what is
 confirmed merges.  Then only pairs across the components of a bucket are left; of
 these the ones with a member outside the bucket's largest component suffice, and
-shingles that no other document has rule out most of them exactly.
+odd sketches of the sets rule out most of them exactly.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from .words import mixed, runs, word_hashes
 
 #: Up to so many ids are sent to the scan of the texts; more meet the texts in a shuffle.
 BROADCAST_IDS = 500_000
+#: 64-bit words of a set's odd sketch.
+ODD_WORDS = 8
 _MASKS = np.random.default_rng(8_191).integers(0, 1 << 32, (2, 4096), dtype=np.uint32)
 
 
@@ -77,6 +79,12 @@ def signature(s: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Of ODD_WORDS * 64 cells by the elements' low bits, which hold an odd number of them."""
+    cells = np.bincount((s & np.uint64(64 * ODD_WORDS - 1)).astype(np.int64), minlength=64 * ODD_WORDS)
+    return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 @lru_cache(maxsize=16)
 def least_matches(percent: int, size: int, batch: int, miss: float) -> tuple[int, ...]:
     """After each batch, the least number of equal entries with which a pair stays.
@@ -101,19 +109,20 @@ def _sketch(spec: NearSpec):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest, bands, sig = [], [], [], []
+            n, digest, bands, sig, odd = [], [], [], [], []
             for t in b.column(1):
                 s = shingles((t.as_py() or "").encode("utf-8", "surrogatepass"), spec.words)
                 n.append(len(s))
                 if not len(s):
-                    digest.append(None), bands.append(None), sig.append(None)
+                    digest.append(None), bands.append(None), sig.append(None), odd.append(None)
                     continue
                 m = signature(s, spec.size)
                 rows = m[: spec.bands * spec.rows].astype(np.uint64).reshape(spec.bands, spec.rows)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 bands.append(mixed((rows * weights).sum(axis=1, dtype=np.uint64) + weights[:, 0]).view(np.int64))
                 sig.append((m & 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "sig"])
+                odd.append(odd_sketch(s))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands", "sig", "odd"])
 
     return run
 
@@ -177,22 +186,6 @@ class _Candidates:
         rows = self.docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(F.col("text").isNotNull())
         return materialize(rows.join(ids, "id", "left_semi"), "near-texts")
 
-    def unshared(self, texts: DataFrame) -> DataFrame:
-        """(id, own): how many shingles of each document no other one of ``texts`` has."""
-        words = self.spec.words
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, len(b), 64):
-                    part = b.slice(at, 64)
-                    sets = [shingles(t.as_py().encode("utf-8", "surrogatepass"), words).view(np.int64) for t in part.column(1)]
-                    ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets), pa.int64())], names=["id", "shingle"])
-
-        each = texts.mapInArrow(run, "id long, shingle long")
-        once = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-        return once.groupBy("id").agg(F.count("*").alias("own"))
-
     def confirm(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """(a, b): the pairs whose full shingle sets are similar enough."""
         one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
@@ -226,21 +219,21 @@ def _open(placed: DataFrame) -> DataFrame:
 def _across(open_: DataFrame, spec: NearSpec) -> DataFrame:
     """Pairs of a bucket that could still link two of its components.
 
-    A document's ``own`` shingles are in no other document of an open bucket.
-    Of ``size`` shingles x shares at most size - own with any y, and the union of x and
-    y holds the own ones of both: pairs that this keeps below the threshold are left
-    out.  Of the others, those with a member outside the largest component suffice.
+    Bits that differ between two odd sketches are no more than the shingles that
+    differ, so pairs with too many of them are left out exactly.  Of the others,
+    those with a member outside the largest component suffice.
     """
-    shared = F.col("size") - F.col("own")
-    x = open_.where("c != large").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("own").alias("ox"), shared.alias("sx"))
-    y = open_.select(F.col("key").alias("k"), F.col("rep").alias("y"), F.col("c").alias("cy"), "large", F.col("own").alias("oy"), shared.alias("sy"))
-    possible = F.least("sx", "sy") * 100 >= (F.greatest("sx", "sy") + F.col("ox") + F.col("oy")) * spec.percent
+    bits = [f"o{i}" for i in range(ODD_WORDS)]
+    x = open_.where("c != large").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("size").alias("sx"), *(F.col(o).alias(f"x{o}") for o in bits))
+    y = open_.select(F.col("key").alias("k"), F.col("rep").alias("y"), F.col("c").alias("cy"), "large", F.col("size").alias("sy"), *(F.col(o).alias(f"y{o}") for o in bits))
+    differ = sum((F.bit_count(F.col(f"x{o}").bitwiseXOR(F.col(f"y{o}"))) for o in bits), F.lit(0))
+    possible = differ * (100 + spec.percent) <= (F.col("sx") + F.col("sy")) * (100 - spec.percent)
     met = (F.col("key") == F.col("k")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("large")) | (F.col("x") < F.col("y"))) & possible
     return x.join(y, met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def link_classes(docs: DataFrame, reps: DataFrame, spec: NearSpec) -> DataFrame:
-    """(node, component) of the representatives (rep, size, bands, sig) that have links."""
+    """(node, component) of the representatives (rep, size, bands, sig, odd) that have links."""
     check = _Candidates(docs, reps, spec)
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot")).where("n > 1")
@@ -263,11 +256,8 @@ def link_classes(docs: DataFrame, reps: DataFrame, spec: NearSpec) -> DataFrame:
     # buckets of three and more that still hold several components
     placed = _labelled(members.where("n > 2").select("key", "rep"), components, "rep", "c")
     open_ = materialize(_open(placed), "near-open")
-    own = check.unshared(check.texts(open_.select(F.col("rep").alias("id"))))
-    able = open_.select("rep").distinct().join(reps.groupBy("rep").agg(F.max("size").alias("size")), "rep")
-    able = able.join(own.withColumnRenamed("id", "rep"), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    able = materialize(able.where((F.col("size") - F.col("own")) * 100 >= F.col("size") * spec.percent), "near-able")
-    open_ = materialize(_open(open_.select("key", "rep", "c").join(able, "rep")), "near-open")
+    odd = reps.select("rep", "size", *(F.get("odd", F.lit(i)).alias(f"o{i}") for i in range(ODD_WORDS)))
+    open_ = open_.join(odd, "rep")
     across = _across(open_, spec).join(pairs, ["a", "b"], "left_anti")  # those were compared above
     likely = materialize(check.prune(across), "near-likely")
     if likely.isEmpty():
@@ -288,12 +278,12 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     document; other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = rows.mapInArrow(_sketch(spec), "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary")
+    sketched = rows.mapInArrow(_sketch(spec), "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary, odd array<long>")
     sketched = materialize(sketched, "near-sketches")
     known = sketched.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     first = known.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
-    reps = materialize(first.select("digest", "rep", F.col("n_shingles").alias("size"), "bands", "sig").dropDuplicates(["digest"]), "near-classes")
+    reps = materialize(first.select("digest", "rep", F.col("n_shingles").alias("size"), "bands", "sig", "odd").dropDuplicates(["digest"]), "near-classes")
     components = link_classes(rows, reps, spec)
     of = _labelled(reps.select(F.col("digest").alias("d"), "rep"), components, "rep", "component")
     out = sketched.select("doc_id", "n_shingles", "digest").join(of, (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull(), "left")

@@ -31,7 +31,7 @@ class WindowSpec:
 
     words: int = 35
     inner: int = 8
-    batches: int = 2
+    batches: int = 3
     fan_in: int = 2
 
 
@@ -155,16 +155,18 @@ class FingerprintIndex:
     def add(self, prints: DataFrame) -> DataFrame:
         """Adds a batch of fingerprints (column print, one row each occurrence) as a run.
 
-        Returns those of the batch that occur again, in the batch or in earlier runs.
+        Returns those of the batch that occur again, in the batch or in earlier runs:
+        the new run is merge-joined with each of these.
         """
         run = materialize(self._summed(prints.withColumn("n", F.lit(1))), "print-run")
         again = run.where("n > 1").select("print")
         for old in self.runs:
             again = again.unionByName(run.select("print").join(old.select("print"), "print", "left_semi"))
+        again = materialize(again.distinct(), "print-again")  # compaction deletes the runs that it reads
         self.runs.append(run)
         if len(self.runs) > self.fan_in:
             self.compact()
-        return again.distinct()
+        return again
 
     def compact(self) -> None:
         """Merges all runs into one and deletes them."""
@@ -177,6 +179,12 @@ class FingerprintIndex:
                 drop_table(r)
             self.runs = [merged]
 
+    def drop(self) -> None:
+        """Deletes all runs."""
+        for r in self.runs:
+            drop_table(r)
+        self.runs = []
+
     def repeated(self) -> DataFrame:
         """Fingerprints that occur more than once in the whole index."""
         self.compact()
@@ -191,15 +199,18 @@ def _judged(docs: DataFrame, spec: WindowSpec) -> tuple[DataFrame, DataFrame]:
     sketch = rows.mapInArrow(_sketch(spec), f"doc_id {kind}, key long, n_words long, sha string, prints array<long>")
     sketch = materialize(sketch, "print-sketch")
 
-    index = FingerprintIndex(spark, spec.fan_in)
+    index, again = FingerprintIndex(spark, spec.fan_in), None
     for i in range(spec.batches):
         part = sketch.where(F.pmod(F.col("key"), F.lit(spec.batches)) == i)
-        index.add(part.select(F.explode("prints").alias("print")))
-    again = index.repeated()
+        found = index.add(part.select(F.explode("prints").alias("print")))
+        again = found if again is None else again.unionByName(found)
+    again = materialize(again.distinct(), "print-again")
+    index.drop()
     release(spark)
 
-    posted = sketch.select("key", F.explode("prints").alias("print")).join(again, "print", "left_semi")
-    wanted = posted.distinct().groupBy("key").agg(F.collect_list("print").alias("prints"))
+    # a text's repeats of one print (a word over and over) are one row
+    posted = sketch.select("key", F.explode(F.array_distinct("prints")).alias("print")).join(again, "print", "left_semi")
+    wanted = posted.groupBy("key").agg(F.collect_set("print").alias("prints"))
     wanted = materialize(wanted, "print-wanted")
     release(spark)
     met = rows.select("key", "text").join(wanted, "key").select("key", "text", "prints")

@@ -110,10 +110,9 @@ class TwoStepFunction:
 
 def entropy(df: DataFrame, value: str) -> DataFrame:
     """Bits a value of the empirical distribution."""
-    h = df.groupBy(value).agg(F.count("*").alias("n"))
-    t = h.agg(F.sum("n").alias("total"))
-    p = F.col("n") / F.col("total")
-    return h.crossJoin(F.broadcast(t)).agg(F.round(-F.sum(p * F.log2(p)), 6).alias("entropy"))
+    n = F.col("n").cast("double")
+    h = df.groupBy(value).agg(F.count("*").alias("n")).agg(F.sum(n).alias("t"), F.sum(n * F.log2(n)).alias("s"))
+    return h.select(F.round(F.log2("t") - F.col("s") / F.col("t"), 6).alias("entropy"))
 
 
 @dataclass

@@ -18,5 +18,5 @@ def stream_filter(stream: DataFrame, q: str, keys: DataFrame, key: str) -> DataF
 
 def windowed_counts(stream: DataFrame, ts: str, by: str, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Rows per window and value; rows later than ``late`` behind the watermark are left out."""
-    w = stream.withWatermark(ts, late).groupBy(F.window(ts, size), by).agg(F.count("*").alias("n"))
+    w = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, size), by).agg(F.count("*").alias("n"))
     return w.select(F.col("window.start").alias("start"), by, "n")

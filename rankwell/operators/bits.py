@@ -180,6 +180,34 @@ class FieldVector:
         out = self.rows.join(e, "idx", "left").select("idx", F.coalesce("_new", "val").alias("val"))
         return FieldVector(self._fits(out), self.width, self.length)
 
+    def push(self, value: int) -> FieldVector:
+        """One more element; refused if it does not fit the width."""
+        if value < 0 or value.bit_length() > self.width:
+            raise ValueError(f"{value} does not fit in {self.width} bits")
+        new = self.rows.sparkSession.createDataFrame([(self.length, value)], "idx long, val long")
+        return FieldVector(self.rows.unionByName(new), self.width, self.length + 1)
+
+    def resize(self, length: int, value: int = 0) -> FieldVector:
+        """The first ``length`` elements, filled up with ``value``."""
+        kept = self.rows.where(F.col("idx") < length)
+        if length > self.length:
+            kept = kept.unionByName(self.rows.sparkSession.range(self.length, length).select(F.col("id").alias("idx"), F.lit(value).cast("long").alias("val")))
+        return FieldVector(self._fits(kept), self.width, length)
+
+    def pop(self) -> FieldVector:
+        return self.resize(max(0, self.length - 1))
+
+    def filled(self, value: int) -> FieldVector:
+        """All elements ``value``; 0 resets."""
+        return self.apply(lambda _: F.lit(value))
+
+    def equals(self, other: FieldVector) -> bool:
+        """Same width, length and elements."""
+        if (self.width, self.length) != (other.width, other.length):
+            return False
+        a, b = self.rows.select("idx", "val"), other.rows.select("idx", "val")
+        return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
     def copy(self, start: int, dest: FieldVector, to: int, n: int) -> FieldVector:
         """``dest`` with up to ``n`` of these elements from ``start``, put at ``to``; clipped at both ends."""
         if self.width != dest.width:

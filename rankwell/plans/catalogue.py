@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fx
-from ..operators import chunks, f2, filters, func, lists, parens
+from ..operators import chunks, f2, filters, func, lists, parens, static
 from ..operators.bits import BitVector, FieldVector, RankSelect
 from ..operators.monotone import MonotoneSeq
 from ..operators.scan import dense_index
@@ -472,6 +472,20 @@ def filter_no_false_negatives(spark, d):
     return filters.FingerprintFilter.build(keys, "c_custkey", 8).contains(keys, "c_custkey").agg(F.count("*").alias("positives"))
 
 
+@query("SELECT c_custkey AS q, c_nationkey::BIGINT AS value FROM customer")
+def packed_function_get(spark, d):
+    """Every key's value from the XOR of three cells."""
+    c = _t(spark, d, "customer")
+    return static.PackedFunction.build(c, "c_custkey", "c_nationkey").get(c.select(F.col("c_custkey").alias("q")), "q")
+
+
+@query("SELECT c_custkey AS q FROM customer WHERE c_acctbal < 0")
+def packed_filter_contains(spark, d):
+    """All keys pass a packed filter; with 40 bits, no other customer does."""
+    c = _t(spark, d, "customer")
+    return static.PackedFilter.build(c.where("c_acctbal < 0"), "c_custkey", 40).contains(c.select(F.col("c_custkey").alias("q")), "q")
+
+
 # -------------------------------------------------------------------- lists and arrays
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankwell import functions as fx
 from rankwell.errors import BuildError, DuplicateKey, MismatchedKeysAndValues, NotMonotone, Unsolvable, ValueTooLarge
-from rankwell.operators import chunks, f2, filters, func, lists, parens
+from rankwell.operators import chunks, f2, filters, func, lists, parens, static
 from rankwell.operators.bits import BitVector, FieldVector, RankSelect
 from rankwell.operators.monotone import MonotoneSeq
 from rankwell.operators.scan import dense_index, prefix_sums
@@ -316,3 +316,31 @@ def test_word_functions(spark):
     assert [r.n for r in lcp.collect()] == [2, 0, 1, 0]
     v = spark.createDataFrame([(127,), (128,), (16511,), (16512,), (2113663,), (2113664,)], "v long").select(fx.vbyte_len(F.col("v")).alias("n"))
     assert [r.n for r in v.collect()] == [1, 2, 2, 3, 3, 4]
+
+
+def test_packed_function(spark, monkeypatch):
+    monkeypatch.setattr(static, "SHARD_KEYS", 700)
+    keys = spark.range(2500).select(F.col("id").alias("k"), (F.col("id") * 7 % 1000).alias("v"))
+    f = static.PackedFunction.build(keys, "k", "v")
+    assert (f.width, f.n) == (10, 2500) and f.shard_sizes().count() == f.shards == 4
+    probes = keys.unionByName(keys.limit(5))
+    assert f.get(probes, "k").where("value != v or value is null").isEmpty()
+    assert f.bits_per_key() < 16 * 1.3
+    with pytest.raises(DuplicateKey):
+        static.PackedFunction.build(keys.union(keys.limit(1)), "k", "v")
+    with pytest.raises(ValueTooLarge):
+        static.PackedFunction.build(keys, "k", "v", width=9)
+    g = static.PackedFilter.build(keys, "k", 6)
+    assert g.contains(keys, "k").count() == 2500
+    assert g.contains(spark.range(2500, 22_500), "id").count() / 20_000 < 2 / 2**6
+    empty = static.PackedFunction.build(keys.where("k < 0"), "k", "v")
+    assert empty.get(keys.limit(3), "k").select("value").distinct().collect() == [(None,)]
+
+
+def test_field_edits(spark):
+    v = FieldVector.from_slice(spark.createDataFrame([(0, 5), (1, 7)], "i long, v long"), "i", "v")
+    assert rows(v.push(3).resize(5, 1).pop().rows, "idx", "val") == [(0, 5), (1, 7), (2, 3), (3, 1)]
+    assert rows(v.filled(0).rows, "idx", "val") == [(0, 0), (1, 0)]
+    assert v.equals(v.push(1).pop()) and not v.equals(v.filled(2))
+    with pytest.raises(ValueError):
+        v.push(8)

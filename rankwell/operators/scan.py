@@ -69,7 +69,8 @@ def as_of(probes: DataFrame, probe: str, table: DataFrame, key: str, forward: bo
     side = F.col("_row").isNotNull().cast("int") if forward != strict else F.col("_probe").isNotNull().cast("int")
     rows = ranged(sides.withColumn("_side", side), "_k", "_side")
     if forward:
-        inside = F.first("_row", True).over(Window.partitionBy("_p").orderBy("_i").rowsBetween(0, Window.unboundedFollowing))
+        # backwards: a frame that only grows is scanned once
+        inside = F.last("_row", True).over(Window.partitionBy("_p").orderBy(F.desc("_i")).rowsBetween(UPTO, 0))
         ends = rows.groupBy("_p").agg(F.min("_row").alias("_e"))
         carried = F.first("_e", True).over(Window.orderBy("_p").rowsBetween(1, Window.unboundedFollowing))
     else:

@@ -1,8 +1,9 @@
 """HTML extraction with removal of site templates.
 
 A page's element subtrees are hashed and counted per host; subtrees that recur on
-many pages of their host are deleted, as are elements whose tag, class, id or
-role says that they are not part of the article.  What an article or main element
+many pages of their host are deleted (paragraphs and other text blocks of an article
+only if they recur on most), as are elements whose tag, class, id or role says that
+they are not part of the article.  What an article or main element
 holds is the text, of pages without one all that is left of the body.
 """
 
@@ -32,7 +33,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-#: Text blocks: within an article they are content, whatever recurs.
+#: Text blocks: within an article they are content unless they recur on most pages of the host.
 TEXT = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th tr tbody thead tfoot".split())
 #: Elements that are never part of the article.
 DROPPED = frozenset("aside audio button canvas dialog embed form head iframe menu nav noembed noframes noscript object option script search select style svg template textarea title video".split())
@@ -52,10 +53,16 @@ _LISTS = frozenset("ul ol dl table menu select".split())
 
 @dataclass(frozen=True)
 class TemplateSpec:
-    """A subtree is a template if it recurs on ``pages`` pages of its host at least, and on ``share`` of them."""
+    """A subtree is a template if it recurs on ``pages`` pages of its host at least, and on ``share`` of them.
+
+    For an article's text blocks the bounds are ``text_pages`` and ``text_share``, so that
+    short content which recurs by chance stays.
+    """
 
     pages: int = 5
     share: float = 0.3
+    text_pages: int = 10
+    text_share: float = 0.5
 
 
 @lru_cache(maxsize=8192)
@@ -78,7 +85,7 @@ class _Page:
     def __init__(self, html: str):
         self.html = html
         self.stack: list[list] = []  # name, start, dropped, article, subtree number, marked drop
-        self.subtrees: list[list[int]] = []  # start, end
+        self.subtrees: list[list[int]] = []  # start, end, whether a text block of an article
         self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []
         self.parts: list[str] = []
         self._read()
@@ -108,9 +115,9 @@ class _Page:
         edge = name in EDGES and (name == "footer" or not top[3]) or header and not top[3]
         dropped = top[2] or name in DROPPED or edge or marked and name not in ("html", "body", "article", "main")
         number = -1
-        if name in BLOCKS and name not in ("html", "body", "head", "article", "main") and not main and not (article and name in TEXT):
+        if name in BLOCKS and name not in ("html", "body", "head", "article", "main") and not main:
             number = len(self.subtrees)
-            self.subtrees.append([start, len(self.html)])
+            self.subtrees.append([start, len(self.html), int(article and name in TEXT)])
         self.stack.append([name, start, dropped, article, number])
 
     def _start(self, name: str, attributes: str, start: int) -> None:
@@ -174,10 +181,10 @@ class _Page:
         self._close(0, len(html))
 
     def prints(self) -> list[int]:
-        """Each subtree's hash: of its source, white space squeezed."""
+        """Each subtree's hash: of its source, white space squeezed; the lowest bit is set for an article's text blocks."""
         out = []
-        for start, end in self.subtrees:
-            h = xxhash.xxh64_intdigest(" ".join(self.html[start:end].split()))
+        for start, end, content in self.subtrees:
+            h = xxhash.xxh64_intdigest(" ".join(self.html[start:end].split())) & ~1 | content
             out.append(h - (1 << 64) if h >> 63 else h)
         return out
 
@@ -210,9 +217,11 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def site_templates(parsed: DataFrame, spec: TemplateSpec) -> DataFrame:
     """(host, print) of the subtrees that recur on many pages of their host."""
-    seen = parsed.select("host", F.explode("prints").alias("print")).groupBy("host", "print").agg(F.count("*").alias("n")).where(F.col("n") >= spec.pages)
+    seen = parsed.select("host", F.explode("prints").alias("print")).groupBy("host", "print").agg(F.count("*").alias("n"))
+    content = F.col("print").bitwiseAND(F.lit(1)) == 1
+    seen = seen.where(F.col("n") >= F.when(content, spec.text_pages).otherwise(spec.pages))
     pages = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    return seen.join(pages, "host").where(F.col("n") >= F.col("pages") * spec.share).select("host", "print")
+    return seen.join(pages, "host").where(F.col("n") >= F.col("pages") * F.when(content, spec.text_share).otherwise(spec.share)).select("host", "print")
 
 
 def main_text(pages: DataFrame, spec: TemplateSpec = TemplateSpec()) -> DataFrame:
@@ -224,18 +233,20 @@ def main_text(pages: DataFrame, spec: TemplateSpec = TemplateSpec()) -> DataFram
     texts; pages with a null url share a host without name; null ids and repeated
     rows are kept; broken markup is read leniently; other columns are ignored.
 
-    Sources are parsed where they are read and never move: only blocks inside
-    possible templates wait for the counts of their host.
+    Sources are parsed where they are read and never move; blocks inside possible
+    templates wait for the counts of their host.  Templates and what they delete are
+    written first, so that the joins broadcast them where they are few and no text moves.
     """
     id_kind, url_kind = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
     rows = pages.select("page_id", "url", split_url(F.col("url"))[0].alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), "html")
     schema = f"page_id {id_kind}, url {url_kind}, host string, key long, text string, blocks array<struct<text: string, prints: array<long>>>, prints array<long>"
     parsed = materialize(rows.mapInArrow(_parsed, schema), "page-blocks")
-    templates = site_templates(parsed, spec)
+    templates = materialize(site_templates(parsed, spec), "site-templates")
 
     waiting = parsed.where(F.col("text").isNull())
-    held = waiting.select("host", "key", F.explode(F.array_distinct(F.flatten("blocks.prints"))).alias("print")).distinct()
-    gone = held.join(templates, ["host", "print"]).groupBy("key").agg(F.collect_list("print").alias("gone")).withColumnRenamed("key", "k")
+    held = waiting.select("host", "key", F.explode(F.array_distinct(F.flatten("blocks.prints"))).alias("print"))
+    gone = held.join(templates, ["host", "print"]).groupBy("key").agg(F.collect_set("print").alias("gone")).withColumnRenamed("key", "k")
+    gone = materialize(gone, "page-templates")
     waiting = waiting.join(gone, F.col("key") == F.col("k"), "left")
     left = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["prints"], F.col("gone")), F.lit(False)))
     waiting = waiting.select("page_id", "url", F.array_join(F.transform(left, lambda b: b["text"]), "\n").alias("text"))

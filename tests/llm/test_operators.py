@@ -458,6 +458,15 @@ def test_html(spark):
     assert html.main_text(df.where("page_id < 0")).isEmpty()
 
 
+def test_article_templates(spark):
+    """An article's text blocks that recur on most pages of the host go; content that recurs on fewer stays."""
+    line = "<p>Site notice</p><ul><li>read more</ul>"
+    pages = [(i, f"http://n.example/{i}", PAGE.format(f"<article><h1>T{i}</h1>{line}<p>own {i}</p>{'<p>short</p>' if i < 9 else ''}</article>")) for i in range(20)]
+    pages += [(100 + i, f"http://few.example/{i}", PAGE.format(f"<main><p>Site notice</p><p>own {i}</p></main>")) for i in range(9)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T{i}\nown {i}" + ("\nshort" if i < 9 else "") for i in range(20)} | {100 + i: f"Site notice\nown {i}" for i in range(9)}
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [

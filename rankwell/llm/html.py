@@ -53,7 +53,7 @@ _LISTS = frozenset("ul ol dl table menu select".split())
 
 @dataclass(frozen=True)
 class TemplateSpec:
-    """A subtree is a template if it recurs on ``pages`` pages of its host at least, and on ``share`` of them.
+    """A subtree is a template if it recurs on ``pages`` pages of its host at least, and on ``share`` of them; copies of a page count once.
 
     For an article's text blocks the bounds are ``text_pages`` and ``text_share``, so that
     short content which recurs by chance stays.
@@ -205,23 +205,24 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(b), 256):
             part = b.slice(at, 256)
             texts, blocks, prints = [], [], []
-            for h in part.column(4):
+            for h in part.column(5):
                 found, own = extract(h.as_py())
                 settled = not any(p for _, p in found)
                 texts.append("\n".join(t for t, _ in found) if settled else None)
                 blocks.append(None if settled else [{"text": t, "prints": p} for t, p in found])
                 prints.append(own)
-            arrays = [*part.columns[:4], pa.array(texts, pa.string()), pa.array(blocks, pa.list_(_BLOCK)), pa.array(prints, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "key", "text", "blocks", "prints"])
+            arrays = [*part.columns[:5], pa.array(texts, pa.string()), pa.array(blocks, pa.list_(_BLOCK)), pa.array(prints, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "key", "content", "text", "blocks", "prints"])
 
 
 def site_templates(parsed: DataFrame, spec: TemplateSpec) -> DataFrame:
-    """(host, print) of the subtrees that recur on many pages of their host."""
-    seen = parsed.select("host", F.explode("prints").alias("print")).groupBy("host", "print").agg(F.count("*").alias("n"))
-    content = F.col("print").bitwiseAND(F.lit(1)) == 1
-    seen = seen.where(F.col("n") >= F.when(content, spec.text_pages).otherwise(spec.pages))
-    pages = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    return seen.join(pages, "host").where(F.col("n") >= F.col("pages") * F.when(content, spec.text_share).otherwise(spec.share)).select("host", "print")
+    """(host, print) of the subtrees that recur on many pages of their host; pages of the same content count once."""
+    distinct = parsed.groupBy("host", "content").agg(F.first("prints").alias("prints"))
+    seen = distinct.select("host", F.explode("prints").alias("print")).groupBy("host", "print").agg(F.count("*").alias("n"))
+    inner = F.col("print").bitwiseAND(F.lit(1)) == 1
+    seen = seen.where(F.col("n") >= F.when(inner, spec.text_pages).otherwise(spec.pages))
+    pages = distinct.groupBy("host").agg(F.count("*").alias("pages"))
+    return seen.join(pages, "host").where(F.col("n") >= F.col("pages") * F.when(inner, spec.text_share).otherwise(spec.share)).select("host", "print")
 
 
 def main_text(pages: DataFrame, spec: TemplateSpec = TemplateSpec()) -> DataFrame:
@@ -238,8 +239,8 @@ def main_text(pages: DataFrame, spec: TemplateSpec = TemplateSpec()) -> DataFram
     written first, so that the joins broadcast them where they are few and no text moves.
     """
     id_kind, url_kind = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
-    rows = pages.select("page_id", "url", split_url(F.col("url"))[0].alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), "html")
-    schema = f"page_id {id_kind}, url {url_kind}, host string, key long, text string, blocks array<struct<text: string, prints: array<long>>>, prints array<long>"
+    rows = pages.select("page_id", "url", split_url(F.col("url"))[0].alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), F.xxhash64("html").alias("content"), "html")
+    schema = f"page_id {id_kind}, url {url_kind}, host string, key long, content long, text string, blocks array<struct<text: string, prints: array<long>>>, prints array<long>"
     parsed = materialize(rows.mapInArrow(_parsed, schema), "page-blocks")
     templates = materialize(site_templates(parsed, spec), "site-templates")
 

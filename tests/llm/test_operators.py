@@ -467,6 +467,15 @@ def test_article_templates(spark):
     assert got == {i: f"T{i}\nown {i}" + ("\nshort" if i < 9 else "") for i in range(20)} | {100 + i: f"Site notice\nown {i}" for i in range(9)}
 
 
+def test_page_copies(spark):
+    """Copies of a page are no site template: they count as one page, on both sides of the share."""
+    copy = "<body><div><h1>Title</h1><p>main text</p></div></body>"
+    pages = [(i, f"http://c.example/{i}", copy) for i in range(12)] + [(100 + i, None, copy) for i in range(12)]
+    pages += [(200 + i, f"http://c.example/own/{i}", f"<body><p>notice</p><p>own {i}</p></body>") for i in range(5)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "Title\nmain text" for i in (*range(12), *range(100, 112))} | {200 + i: f"own {i}" for i in range(5)}
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [

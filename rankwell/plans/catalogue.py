@@ -54,6 +54,13 @@ def ef_get(spark, d):
     return seq.get(spark.range(0, seq.n, 97).select(F.col("id").alias("i")), "i")
 
 
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderkey AS value FROM orders")
+def ef_get_all(spark, d):
+    """Every position."""
+    seq = MonotoneSeq.from_values(_t(spark, d, "orders"), "o_orderkey")
+    return seq.get(spark.range(seq.n).select(F.col("id").alias("i")), "i")
+
+
 def _nearest(agg: str, at: str, compare: str) -> str:
     return _V + f", m AS (SELECT q, (SELECT {agg}(value) FROM r WHERE value {compare} q) AS value FROM p) SELECT q, r.{at} AS idx, m.value FROM m LEFT JOIN r ON m.value = r.value"
 
@@ -340,6 +347,32 @@ def rcl_contains(spark, d):
     return _names(spark, d).contains(_words(spark, d), "q")
 
 
+_SA = "WITH s AS (SELECT p_name AS s, row_number() OVER (ORDER BY p_name) - 1 AS idx FROM part), w AS (SELECT p_name AS q FROM part UNION SELECT r_name FROM region) "
+
+
+def _all_words(spark, d) -> DataFrame:
+    return _t(spark, d, "part").select(F.col("p_name").alias("q")).union(_t(spark, d, "region").select("r_name")).distinct()
+
+
+@query(_SA + "SELECT idx AS i, s FROM s")
+def rcl_get_all(spark, d):
+    """Every position."""
+    v = _names(spark, d)
+    return v.get(spark.range(v.n).withColumnRenamed("id", "i"), "i")
+
+
+@query(_SA + "SELECT q, min(idx) AS idx FROM w LEFT JOIN s ON s = q GROUP BY q")
+def rcl_index_of_all(spark, d):
+    """Every name."""
+    return _names(spark, d).index_of(_all_words(spark, d), "q")
+
+
+@query(_SA + "SELECT q FROM w WHERE q IN (SELECT s FROM s)")
+def rcl_contains_all(spark, d):
+    """Every name."""
+    return _names(spark, d).contains(_all_words(spark, d), "q")
+
+
 @query(_S + "SELECT idx, s FROM s WHERE idx >= 150")
 def rcl_iter_from(spark, d):
     return _names(spark, d).scan(150)

@@ -15,6 +15,9 @@ from .operators.scan import dense_index
 from .operators.strings import StringList, inverted
 from .sources.lines import load, read_lines, save, synthetic
 
+#: Values with a codeword of their own; rarer ones share the escape, which counts as a symbol.
+MAX_SYMBOLS = 1 << 20
+
 
 def _keys(spark: SparkSession, args):
     """(key, value): lines in order with their number, or numbers 0 to n - 1 with values of a distribution."""
@@ -66,9 +69,8 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
     elif args.command == "two-step":
         built = TwoStepFunction.build(keys, "key", "value")
     elif args.command == "huffman":
-        counts = {r[0]: r[1] for r in keys.groupBy("value").count().limit(1 << 20).collect()}
-        code = HuffmanCode.from_counts(counts)
-        return {"symbols": len(code.lengths), "bits": sum(code.encoded_len(v) * n for v, n in counts.items())}
+        code, bits = HuffmanCode.from_values(keys, "value", MAX_SYMBOLS)
+        return {"symbols": len(code.codewords()), "bits": bits}
     elif args.command == "rank":
         built = MonotoneRank.build(keys, "key")
     else:

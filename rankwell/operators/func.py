@@ -124,10 +124,13 @@ class HuffmanCode:
     escape_bits: int
 
     @classmethod
-    def from_counts(cls, counts: dict[int, int], max_symbols: int = 1 << 20, share: float = 1.0) -> HuffmanCode:
-        """Keeps the most frequent values, up to ``max_symbols`` and until they carry ``share`` of the entropy."""
+    def from_counts(cls, counts: dict[int, int], max_symbols: int = 1 << 20, share: float = 1.0, others: tuple[int, int] = (0, 0)) -> HuffmanCode:
+        """Keeps the most frequent values, up to ``max_symbols`` and until they carry ``share`` of the entropy.
+
+        ``others``: how often values occur that ``counts`` leaves out, and the bits of their widest; they share the escape.
+        """
         order = sorted(counts, key=lambda v: (-counts[v], v))
-        total = sum(counts.values())
+        total = sum(counts.values()) + others[0]
         whole = -sum(c / total * math.log2(c / total) for c in counts.values()) if total else 0
         kept, carried = [], 0.0
         for v in order:
@@ -137,7 +140,7 @@ class HuffmanCode:
             carried -= p * math.log2(p)
             kept.append(v)
         rest = [v for v in order[len(kept) :]]
-        weights = [(counts[v], i) for i, v in enumerate(kept)] + ([(sum(counts[v] for v in rest), len(kept))] if rest else [])
+        weights = [(counts[v], i) for i, v in enumerate(kept)] + ([(sum(counts[v] for v in rest) + others[0], len(kept))] if rest or others[0] else [])
         depth = [0] * len(weights)
         heap = [(w, i, [i]) for w, i in weights]
         heapq.heapify(heap)
@@ -150,7 +153,17 @@ class HuffmanCode:
                 depth[i] += 1
             heapq.heappush(heap, (a[0] + b[0], k, a[2] + b[2]))
             k += 1
-        return cls({v: depth[i] for i, v in enumerate(kept)}, depth[len(kept)] if rest else None, max((v.bit_length() for v in rest), default=0))
+        return cls({v: depth[i] for i, v in enumerate(kept)}, depth[len(kept)] if rest or others[0] else None, max([v.bit_length() for v in rest] + [others[1]]))
+
+    @classmethod
+    def from_values(cls, df: DataFrame, value: str, max_symbols: int = 1 << 20) -> tuple[HuffmanCode, int]:
+        """The code of a column's non-null values, and the bits of all of them: the ``max_symbols`` most frequent have codewords, the others the escape and their bits."""
+        h = histogram(df.where(F.col(value).isNotNull()), value)
+        counts = {r["value"]: r["n"] for r in h.where(F.col("pos") < max_symbols).collect()}
+        told = h.where(F.col("pos") >= max_symbols).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("value"), F.lit(0))).first()
+        code = cls.from_counts(counts, max_symbols, others=(told[0], max(1, told[1].bit_length()) if told[0] else 0))
+        escaped = told[0] * (code.escape + code.escape_bits) if told[0] else 0
+        return code, sum(code.encoded_len(v) * n for v, n in counts.items()) + escaped
 
     def encoded_len(self, value: int) -> int:
         return self.lengths[value] if value in self.lengths else self.escape + self.escape_bits

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from rankwell import cli
-from rankwell.operators.func import KeyedFunction
+from rankwell.operators.func import HuffmanCode, KeyedFunction
 from rankwell.plans import catalogue
 from rankwell.sources import lines
 from rankwell.streaming import lookups
@@ -76,6 +76,15 @@ def test_cli(spark, tmp_path):
     assert cli.run(spark, ["map", "--file", str(tmp_path / "p.txt"), "--invert"])["n"] == 3
 
 
+def test_huffman_escape(spark, tmp_path, monkeypatch):
+    """Values beyond the codewords are counted with the escape; no row is left out."""
+    (tmp_path / "v.txt").write_text("".join(f"k{i}\n" for i in range(40)))
+    monkeypatch.setattr(cli, "MAX_SYMBOLS", 3, raising=False)
+    code = HuffmanCode.from_counts({i: 1 for i in range(40)}, 3)
+    got = cli.run(spark, ["huffman", "--file", str(tmp_path / "v.txt")])
+    assert got == {"symbols": 4, "bits": sum(code.encoded_len(i) for i in range(40))}
+
+
 def test_streaming(spark, tmp_path):
     events = spark.read.parquet(f"{DATA}/events.parquet")
     events.write.parquet(str(tmp_path / "events"))

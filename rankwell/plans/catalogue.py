@@ -435,6 +435,9 @@ def vfunc_dup_keys(spark, d):
     return func.duplicate_keys(_t(spark, d, "lineitem"), "l_orderkey")
 
 
+#: Values of ``compvfunc_get`` with a codeword of their own.
+CODEWORDS = 1 << 16
+
 _H = "WITH h AS (SELECT p_size::BIGINT AS value, count(*) AS n FROM part GROUP BY 1), o AS (SELECT value, n, row_number() OVER (ORDER BY n DESC, value) - 1 AS pos FROM h) "
 
 
@@ -461,13 +464,16 @@ def compvfunc_entropy(spark, d):
 
 @query("SELECT p_partkey AS q, p_size::BIGINT AS value FROM part")
 def compvfunc_get(spark, d):
-    """Values through their Huffman code: each key's codeword is decoded again."""
+    """Values through their Huffman code: each key's codeword is decoded again, rare values' from the escape and their bits."""
     part = _t(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("value"))
-    counts = {r["value"]: r["n"] for r in func.histogram(part, "value").where(F.col("pos") < 1 << 16).collect()}
-    words = func.HuffmanCode.from_counts(counts).codewords()
-    code = spark.createDataFrame([(v, f"{c:0{n}b}") for v, (c, n) in words.items()], "value long, word string")
-    stored = part.join(F.broadcast(code), "value").select("p_partkey", "word")
-    return stored.join(F.broadcast(code), "word").select(F.col("p_partkey").alias("q"), "value")
+    book, _ = func.HuffmanCode.from_values(part, "value", CODEWORDS)
+    words = {v: f"{c:0{n}b}" for v, (c, n) in book.codewords().items()}
+    escape = words.pop(None, None)
+    code = spark.createDataFrame(list(words.items()), "v long, w string")
+    rare = F.concat(F.lit(escape), F.lpad(F.bin("value"), book.escape_bits, "0"))
+    stored = part.join(F.broadcast(code), F.col("value") == F.col("v"), "left").select("p_partkey", F.coalesce("w", rare).alias("word"))
+    bits = F.when(F.col("word").startswith(F.lit(escape)), F.conv(F.substring("word", len(escape or "") + 1, book.escape_bits), 2, 10).cast("long"))
+    return stored.join(F.broadcast(code), F.col("word") == F.col("w"), "left").select(F.col("p_partkey").alias("q"), F.coalesce("v", bits).alias("value"))
 
 
 @query("SELECT l_orderkey AS q, rank FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rank FROM orders) ON l_orderkey = o_orderkey")

@@ -45,6 +45,14 @@ def test_every_position(spark, name, table, col):
     assert want.exceptAll(got).isEmpty() if name.endswith("get_all") else want.subtract(got).isEmpty()
 
 
+def test_rare_values(spark, tmp_path):
+    """More values than codewords: every key is decoded."""
+    n = (1 << 16) + 1000
+    spark.range(n).selectExpr("id AS p_partkey", "CASE WHEN id < 9 THEN 3 ELSE id END AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    got = catalogue.compvfunc_get(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, 3 if i < 9 else i) for i in range(n)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

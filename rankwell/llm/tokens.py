@@ -35,8 +35,12 @@ _CHUNK = re.compile("[ \n]*[^ \n]+|[ \n]+")
 
 #: Chunks for the faster encoder; the library gets all others.
 _PLAIN = re.compile("[ -~\n\u00c0-\u017f]+")
-#: How byte-level pre-tokenizers cut a text into pieces.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Whole texts for it: only such characters, single white space, and runs short enough for its merging, whose time grows with their square.
+_PLAIN_TEXT = re.compile("[ \n]?(?:[!-~\u00c0-\u017f]{1,255}+(?:[ \n]|\\Z))*+\\Z")
+#: How byte-level pre-tokenizers cut a text into pieces; without the look-ahead, which only matters
+#: where white space follows white space, a regex engine need not go back.
+PLAIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+PIECES = PLAIN_PIECES.removesuffix(r"|\s+") + r"|\s+(?!\S)|\s+"
 
 CACHE_SCHEMA = T.StructType(
     [T.StructField("digest", T.BinaryType()), T.StructField("version", T.StringType()), T.StructField("n_tokens", T.LongType())]
@@ -55,7 +59,7 @@ def merge_pairs(merges: list) -> list[tuple[str, str]]:
 
 
 def _ranked(vocab: dict[str, int], merges: list):
-    """A faster encoder of the same vocabulary, or None where ids don't follow the order of merges.
+    """Faster encoders of the same vocabulary, by PIECES and by PLAIN_PIECES, or None where ids don't follow the order of merges.
 
     It joins the adjacent pair whose union comes first.  That is what the merge list
     asks for if the list, applied to any token's own bytes, yields that token; a test
@@ -68,16 +72,17 @@ def _ranked(vocab: dict[str, int], merges: list):
 
     byte = {x: b for b, x in enumerate(letters)}
     ranks = {bytes(byte[x] for x in t): i for t, i in vocab.items() if i < 256 + len(merges)}
-    return tiktoken.Encoding("ranked", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+    return tuple(tiktoken.Encoding("ranked", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PIECES, PLAIN_PIECES))
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, as the tokenizer's library gives them.
 
-    A byte-level BPE whose pre-tokenizer splits at every white-space run encodes
-    each chunk (a run of blanks and newlines with what follows it) by itself, so
-    a memo of chunks gives the ids of a text without encoding it again; missing
-    chunks go to a faster encoder of the same vocabulary.  Texts with special strings or unusual white space go to the library as a whole.
+    Plain whole texts go to a faster encoder of the same vocabulary, texts with special
+    strings or unusual white space to the library.  The others are cut into chunks (a run of
+    blanks and newlines with what follows it), which a byte-level BPE whose pre-tokenizer
+    splits at every white-space run encodes each by itself: a memo of chunks gives the ids,
+    and missing chunks go to the faster encoder or the library.
     """
 
     def __init__(self, path: str):
@@ -105,7 +110,7 @@ class Encoder:
             letters = _byte_letters()
             self.chunked = sys.byteorder == "little" and model.get("type") == "BPE" and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")) and all(x in vocab for x in letters) and max(vocab.values()) < 1 << 20
         if self.chunked:
-            self.ranked = _ranked(vocab, model["merges"])
+            self.ranked, self.ranked_plain = _ranked(vocab, model["merges"]) or (None, None)
             self.chunked = self.ranked is not None
         self.special = tuple(t["content"] for t in told.get("added_tokens") or ())
 
@@ -126,7 +131,11 @@ class Encoder:
         return out
 
     def ids(self, text: str) -> bytes:
-        if not self.chunked or _ODD.search(text) or any(s in text for s in self.special):
+        if not self.chunked or any(s in text for s in self.special):
+            return self.whole(text)
+        if _PLAIN_TEXT.match(text):
+            return array("I", self.ranked_plain.encode_ordinary(text)).tobytes()
+        if _ODD.search(text):
             return self.whole(text)
         chunks, memo = _CHUNK.findall(text), self.memo
         try:

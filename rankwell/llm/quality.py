@@ -171,7 +171,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> AdditiveModel:
-    """Fits on at most ``rows`` labelled documents outside the held-out part; null labels and ids are left out."""
+    """Fits on at most ``rows`` labelled documents outside the held-out part, those with the smallest hashes of their ids.
+
+    Null labels and ids are left out; of an id's labels the larger counts, of its rows the one with the least features.
+    """
     told = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     told = told.groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
     told = told.orderBy("h", "doc_id").limit(rows).select(F.col("doc_id").alias("labelled"), "quality")
@@ -182,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Additiv
 
     some = docs.select("doc_id", "text").join(F.broadcast(told), F.col("doc_id") == F.col("labelled"))  # ``rows`` at most
     some = some.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text")
-    found = some.mapInArrow(extract, "doc_id long, quality int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * rows).toPandas()
+    found = some.mapInArrow(extract, "doc_id long, quality int, x array<double>").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x"))  # one row an id
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     if not len(found):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.array(found["x"].tolist()), found["quality"].to_numpy(np.float64))

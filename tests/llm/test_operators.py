@@ -1,13 +1,17 @@
 """The operators on a small corpus against brute force; nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import hashlib
+import os
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rankwell.llm import html, media, mixing, neardup, packing, quality, queries, substring, tokens, topk, urls
@@ -111,6 +115,20 @@ def test_encoder_equals_library(tokenizer, library):
         assert np.frombuffer(enc.ids(t), "<u4").tolist() == library(t)
 
 
+def test_whole_texts_equal_library(tokenizer, library):
+    """Plain texts take the encoder without look-ahead; texts that just fail to be plain don't."""
+    enc, rng = tokens.Encoder(tokenizer), random.Random(9)
+    texts = ["".join(rng.choice(" \n ab'sll1!\u00e9\u00d7\u017f") for _ in range(rng.randint(1, 40))) for _ in range(5000)]
+    texts += ["a" * 255 + " b", "a" * 256 + " b", " a", "\na ", "a  b", "a \nb", "\u00bfa", sentence(3000)]
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if os.path.exists(path):
+        texts += [t for t in pq.read_table(path, columns=["text"]).column(0).to_pylist() if t]
+    plain = [bool(tokens._PLAIN_TEXT.match(t)) for t in texts]
+    assert 500 < sum(plain) and not any(p and re.search(r"\s\s|\S{256}", t) for p, t in zip(plain, texts))
+    for t in texts:
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == library(t)
+
+
 def test_merges_reproduce_every_token(tokenizer):
     """What the faster encoder rests on: the merge list turns each token's bytes into that token."""
     import json
@@ -512,3 +530,73 @@ def test_url_tree(spark):
     wide = [(i, f"http://w.com/u{chr(97 + i // 26)}{chr(97 + i % 26)}/page") for i in range(60)]
     got = urls.judge_urls(spark.createDataFrame(wide, "page_id long, url string"), [urls.Rule("block", "w.com", f"/u{c}") for c in "ab"])
     assert {r.verdict for r in got.collect()} == {"block"}  # the first segment is variable, its labelled values are all blocked
+
+
+def xx(*values):
+    """Spark's xxhash64 of literals (ints of four bytes, as a pair) and columns."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_taken(rows, spec):
+    """The mix word by word: (doc_id, size, taken) of every row."""
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    targets, out = brute_targets(dict(sizes)), Counter()
+    order = sorted(s for s in sizes if s is not None) + ([None] if None in sizes else [])
+    told = []
+    for sid, s in enumerate(order):
+        size, words = sizes[s], int(targets[s])
+        epochs, rest = divmod(words, size) if size else (0, 0)
+        blocks = -(-size // spec.block)
+        told.append((sid, s, blocks, size // spec.block, epochs, rest, epochs * blocks + -(-rest // spec.block)))
+    total = sum(t[-1] for t in told)
+    shards = max(1, -(-total // spec.shard_slots))
+    drawn, ends, acc = Counter(), [], 0
+    for t in told:
+        acc += t[-1]
+        ends.append(acc / total)
+    for i in range(total):
+        u = (xx((spec.seed,), "draw", i) % (1 << 64) >> 11) / float(1 << 53)
+        drawn[next(k for k, e in enumerate(ends) if u < e), i % shards] += 1
+    assert sum(drawn.values()) == total
+    for sid, s, blocks, even, epochs, rest, slots in told:
+        words = []  # of the source's rows end to end, by hash
+        own = [(xx(i, of, t), i is not None, i or 0, k) for k, (i, t, _, of, _) in enumerate(rows) if of == s]
+        for *_, k in sorted(own):
+            words += [k] * len(re.findall(r"[^\x20\x09-\x0D]+", rows[k][1] or ""))
+        for j in range(slots):  # draws beyond the slots are lost, missing ones dealt: every number occurs once
+            epoch, k = divmod(j, blocks)
+            n = spec.block if epoch < epochs else min(spec.block, rest - k * spec.block)
+            if k < even:
+                for r in range(1, mixing.ROUNDS + 1):
+                    y = (xx((spec.seed,), sid, epoch, (r,)) % even - k) % even
+                    k = k if xx((spec.seed + 1,), sid, epoch, (r,), max(k, y)) % 2 == 0 else y
+            out.update(words[k * spec.block : k * spec.block + n])
+    return sorted(((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), out[k]) for k, (i, t, *_) in enumerate(rows)), key=repr)
+
+
+def test_mixing_word_by_word(spark):
+    spec = mixing.MixSpec(block=16, shard_slots=8)
+    rows = ROWS[:-2]  # without repeated and null ids
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), spec).select("doc_id", "size", "taken")
+    assert collected(got) == brute_taken(rows, spec)
+
+
+def test_many_sources(spark, monkeypatch):
+    """More sources than are broadcast: the salted join gives the same."""
+    rows = [(i, "w " * (i % 7), None, f"s{i % 90:02}" if i % 90 else None, 0) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = collected(mixing.mix(df, mixing.MixSpec(block=4)))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    monkeypatch.setattr(mixing, "CELLS", 16)
+    got = collected(mixing.mix(df, mixing.MixSpec(block=4)))
+    assert [r[:4] for r in got] == [r[:4] for r in want]  # (other cells' bounds don't change draws)
+    assert got == want
+    targets = brute_targets(dict(Counter({s: sum(len((t or "").split()) for _, t, _, o, _ in rows if o == s) for s in {r[3] for r in rows}})))
+    assert {r[0]: r[3] for r in got} == pytest.approx({i: targets[s] for i, _, _, s, _ in rows})

@@ -12,17 +12,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, buckets_for, materialize, n_words
+from ..operators.scan import dense_index, prefix_sums
+from .common import bucket_of, buckets_for, join_small, materialize, n_words
 
-#: Sources are a small dimension: their sizes and targets are worked out on the driver.
-MAX_SOURCES = 100_000
+#: Up to so many sources are broadcast; more meet the documents in a salted join.
+BROADCAST_SOURCES = 100_000
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 16
-#: Cells of the unit interval by which a draw finds its source.
+#: Cells of the unit interval by which a draw finds its source, at least.
 CELLS = 1024
+#: Slots that a task of draws makes, about, and most such tasks.
+TASK_SLOTS, TASKS = 1 << 16, 20_000
 
 
 @dataclass(frozen=True)
@@ -39,34 +42,39 @@ class MixSpec:
     seed: int = 17
 
 
-def targets(sizes: list[tuple[str | None, int]], spec: MixSpec) -> list[tuple[str | None, int, float]]:
-    """(source, size, target): shares by weight; what exceeds a cap goes to the others by weight."""
-    order = sorted((s for s in sizes if s[0] is not None), key=lambda x: x[0]) + [s for s in sizes if s[0] is None]
-    weight = [float(spec.weights[i % len(spec.weights)]) for i in range(len(order))]
-    cap = [spec.cap * n for _, n in order]
-    out, free, left = list(cap), set(range(len(order))), spec.share * sum(n for _, n in order)
-    while free:
-        total = sum(weight[i] for i in free)
-        over = [i for i in free if left * weight[i] / total > cap[i]]
-        if not over:
-            for i in free:
-                out[i] = left * weight[i] / total
+def with_targets(sizes: DataFrame, spec: MixSpec) -> DataFrame:
+    """``sizes`` (source, size) with sid (by code point, null last) and target.
+
+    Shares are by weight; what exceeds a cap goes to the others by weight.  A source is over its
+    cap if the level (words left for each weight) is high enough, and the level only rises as
+    capped sources leave, so each round is one aggregate over the sources.
+    """
+    order = dense_index(sizes, F.col("source").isNull(), F.col("source"), name="sid")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in spec.weights)), (F.col("sid") % len(spec.weights) + 1).cast("int"))
+    order = materialize(order.withColumn("weight", weight).withColumn("most", F.lit(float(spec.cap)) * F.col("size")), "mix-sources")
+    whole, all_ = order.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    words = spec.share * whole
+    left, total = words, all_
+    while True:
+        level = F.lit(left) * F.col("weight") / F.lit(total)
+        over = level > F.col("most")
+        capped, gone = order.where(over).agg(F.coalesce(F.sum("most"), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+        if all_ - gone <= 0 or (words - capped, all_ - gone) == (left, total):
             break
-        free -= set(over)
-        left -= sum(cap[i] for i in over)
-    return [(s, n, out[i]) for i, (s, n) in enumerate(order)]
+        left, total = words - capped, all_ - gone
+    return order.select("sid", "source", "size", F.when(over, F.col("most")).otherwise(level).alias("target"))
 
 
-def _source_table(spark: SparkSession, rows: list[tuple[str | None, int, float]], spec: MixSpec) -> tuple[DataFrame, list[dict]]:
-    """One row per source: blocks, and slots (whole epochs, then a part of one more)."""
-    told = []
-    for sid, (source, size, target) in enumerate(rows):
-        words = min(int(target), int(spec.cap * size))
-        blocks = -(-size // spec.block)
-        epochs, rest = divmod(words, size) if size else (0, 0)
-        told.append({"sid": sid, "source": source, "source_size": size, "target": float(target), "blocks": blocks, "even": size // spec.block, "epochs": epochs, "rest": rest, "slots": epochs * blocks + -(-rest // spec.block)})
-    schema = "sid int, source string, source_size long, target double, blocks long, even long, epochs long, rest long, slots long"
-    return spark.createDataFrame([tuple(t.values()) for t in told], schema), told
+def _source_table(sizes: DataFrame, spec: MixSpec) -> tuple[DataFrame, int]:
+    """One row per source: blocks, and slots (whole epochs, then a part of one more), numbered from ``first_slot``; and all slots."""
+    out = with_targets(sizes, spec).withColumn("words", F.least(F.floor("target"), F.floor(F.lit(float(spec.cap)) * F.col("size"))).cast("long"))
+    full = F.col("size") > 0
+    out = out.withColumn("epochs", F.when(full, F.expr("words div size")).otherwise(0).cast("long")).withColumn("rest", F.when(full, F.expr("words % size")).otherwise(0).cast("long"))
+    out = out.withColumn("blocks", F.expr(f"(size + {spec.block - 1}) div {spec.block}")).withColumn("even", F.expr(f"size div {spec.block}"))
+    out = out.withColumn("slots", F.expr(f"epochs * blocks + (rest + {spec.block - 1}) div {spec.block}"))
+    out = prefix_sums(out, "slots", "sid", name="first_slot")
+    out = materialize(out.select("sid", "source", F.col("size").alias("source_size"), "target", "blocks", "even", "epochs", "rest", "slots", "first_slot"), "mix-source")
+    return out, out.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
 
 
 def permuted(k: Column, n: Column, sid: Column, epoch: Column, seed: int) -> Column:
@@ -82,84 +90,75 @@ def permuted(k: Column, n: Column, sid: Column, epoch: Column, seed: int) -> Col
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), k, step)
 
 
-def _draws(spark: SparkSession, told: list[dict], spec: MixSpec) -> DataFrame:
-    """(shard, sid, j): each source's numbered draws, as many as it has slots.
+_OF_SOURCE = ("slots", "blocks", "even", "epochs", "rest")
+
+
+def _draws(source: DataFrame, total: int, spec: MixSpec) -> DataFrame:
+    """(shard, sid, j) and _OF_SOURCE: each source's numbered draws, as many as it has slots.
 
     Shards draw independently; a source drawn more often than it has slots loses
-    its last draws, and the draws it lacks are dealt to shards by hash.
+    its last draws, and the draws it lacks are dealt to shards by hash.  Counts of draws are few
+    rows; they are dealt to tasks by the slots that they make before they become rows each.
     """
-    total = sum(t["slots"] for t in told)
-    if not total:
-        return spark.createDataFrame([], "shard long, sid int, j long")
+    spark = source.sparkSession
     shards = max(1, min(spec.max_shards, -(-total // spec.shard_slots)))
-    cells, low = [], 0.0
-    for t in told:
-        high = low + t["slots"] / total
-        cells += [(c, t["sid"], low, high) for c in range(int(low * CELLS), min(CELLS - 1, int(high * CELLS)) + 1)] if t["slots"] else []
-        low = high
-    last = max(i for i, c in enumerate(cells))
-    cells[last] = cells[last][:3] + (2.0,)
-    cell = spark.createDataFrame(cells, "cell int, sid int, low double, high double")
+    tasks = max(1, min(TASKS, -(-total // TASK_SLOTS)))
+    few = source.count()
+    cells = CELLS
+    while cells < few:
+        cells *= 2
+    size = F.lit(float(max(1, total)))
+    cell = source.where("slots > 0").select("sid", *_OF_SOURCE, (F.col("first_slot") / size).alias("low"), ((F.col("first_slot") + F.col("slots")) / size).alias("high"))
+    cell = cell.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells).cast("int"), F.least(F.lit(cells - 1), F.floor(F.col("high") * cells)).cast("int"))))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(spec.seed), F.lit("draw"), "id"), 11) / F.lit(float(1 << 53))
-    drawn = (
-        spark.range(total)
-        .select((F.col("id") % shards).alias("shard"), u.alias("u"))
-        .withColumn("cell", F.least(F.lit(CELLS - 1), F.floor(F.col("u") * CELLS)).cast("int"))
-        .join(F.broadcast(cell), "cell")
-        .where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
-        .groupBy("sid", "shard")
-        .agg(F.count("*").alias("n"))
-    )
-    drawn = materialize(drawn, "mix-draws")  # at most max_shards rows a source
+    at = spark.range(total).select((F.col("id") % shards).alias("shard"), u.alias("u")).withColumn("cell", F.least(F.lit(cells - 1), F.floor(F.col("u") * cells)).cast("int"))
+    drawn = at.join(F.broadcast(cell) if few <= BROADCAST_SOURCES else cell, "cell").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+    drawn = materialize(drawn.groupBy("sid", "shard", *_OF_SOURCE).agg(F.count("*").alias("n")), "mix-draws")  # at most max_shards rows a source
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    slots = F.broadcast(spark.createDataFrame([(t["sid"], t["slots"]) for t in told], "sid int, slots long"))
-    numbered = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).join(slots, "sid")
+    numbered = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     kept = numbered.withColumn("end", F.least("slots", F.col("first") + F.col("n"))).where("first < end")
-    kept = kept.select("shard", "sid", F.explode(F.expr("sequence(first, end - 1)")).alias("j"))
-    had = drawn.groupBy("sid").agg(F.sum("n").alias("had"))
-    short = slots.join(had, "sid", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < slots")
-    short = short.select("sid", "slots", F.explode(F.expr("sequence(had, slots - 1, 4096)")).alias("a"))
-    short = short.select("sid", F.explode(F.expr("sequence(a, least(slots, a + 4096) - 1)")).alias("j"))
-    short = short.select(F.pmod(F.xxhash64(F.lit(spec.seed), "sid", "j"), F.lit(shards)).alias("shard"), "sid", "j")
-    return kept.unionByName(short)
+    kept = kept.repartition(tasks, "sid", "shard").select("shard", "sid", *_OF_SOURCE, F.explode(F.expr("sequence(first, end - 1)")).alias("j"))
+    had = drawn.groupBy("sid").agg(F.sum("n").alias("had")).withColumnRenamed("sid", "s")
+    short = source.where("slots > 0").join(had, F.col("sid") == F.col("s"), "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < slots")
+    short = short.select("sid", *_OF_SOURCE, F.explode(F.expr("sequence(had, slots - 1, 4096)")).alias("a")).repartition(tasks, "sid", "a")
+    short = short.select("sid", *_OF_SOURCE, F.explode(F.expr("sequence(a, least(slots, a + 4096) - 1)")).alias("j"))
+    shard = F.pmod(F.xxhash64(F.lit(spec.seed), "sid", "j"), F.lit(shards)).alias("shard")
+    return kept.unionByName(short.select(shard, "sid", *_OF_SOURCE, "j"))
 
 
-def _taken_blocks(spark: SparkSession, source: DataFrame, told: list[dict], spec: MixSpec) -> DataFrame:
+def _taken_blocks(source: DataFrame, total: int, spec: MixSpec) -> DataFrame:
     """(sid, block, epoch, shard, words): a slot takes the first ``words`` words of its block.
 
     The short block at a source's end keeps its place at the end of each epoch,
     so that an epoch's first k blocks always hold k * block words.
     """
-    by = F.broadcast(source.select("sid", "blocks", "even", "epochs", "rest"))
-    slots = _draws(spark, told, spec).join(by, "sid")
+    slots = _draws(source, total, spec)
     slots = slots.withColumn("epoch", F.expr("j div blocks")).withColumn("k", F.expr("j % blocks"))
     mapped = F.when(F.col("k") >= F.col("even"), F.col("k")).otherwise(permuted(F.col("k"), F.col("even"), F.col("sid"), F.col("epoch"), spec.seed))
     words = F.when(F.col("epoch") < F.col("epochs"), F.lit(spec.block)).otherwise(F.least(F.lit(spec.block), F.col("rest") - F.col("k") * spec.block))
     return slots.select("sid", mapped.alias("block"), "epoch", "shard", words.cast("long").alias("words"))
 
 
-def _placed(docs: DataFrame, spec: MixSpec, keep: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """Documents with size, source and ``start`` (words before it in its source), and the sources.
+def _placed(docs: DataFrame, spec: MixSpec, keep: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame, int]:
+    """Documents with size, source and ``start`` (words before it in its source), the sources, and all slots.
 
     Prefix sums in two levels: over hash buckets of a source, then within a
     bucket, so no task holds a whole source.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("h"), n_words(F.col("text")).alias("size"), *keep)
     rows = materialize(rows, "mix-rows")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    source, told = _source_table(spark, targets([(r["source"], r["size"]) for r in sums], spec), spec)
-    n = buckets_for(sum(r["rows"] for r in sums))
-    sid = F.broadcast(source.select("sid", F.col("source").alias("of")))
-    rows = rows.join(sid, F.col("source").eqNullSafe(F.col("of"))).drop("of", "source").withColumn("bucket", bucket_of(F.col("h"), n))
+    sums = materialize(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "mix-sizes")
+    source, total = _source_table(sums.select("source", "size"), spec)
+    few, n = sums.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    n = buckets_for(n)
+    sid = source.select("sid", F.col("source").alias("of"), "source_size", "target")
+    rows = join_small(rows, sid, F.col("source").eqNullSafe(F.col("of")), F.col("h"), few <= BROADCAST_SOURCES).drop("of", "source").withColumn("bucket", bucket_of(F.col("h"), n))
     upto = Window.unboundedPreceding
     base = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     base = base.select("sid", "bucket", F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(upto, -1)), F.lit(0)).alias("base"))
     within = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(upto, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(base, ["sid", "bucket"])
-    return rows.withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside", "bucket", "h"), source, told
+    return rows.withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside", "bucket", "h"), source, total
 
 
 def _pieces(rows: DataFrame, spec: MixSpec) -> DataFrame:
@@ -181,16 +180,14 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     gives exactly the whole part of its target, each document at most ``cap`` times
     its size, and reruns agree: all draws and permutations are hashes of indices.
     """
-    spark = docs.sparkSession
-    rows, source, told = _placed(docs, spec)
+    rows, source, total = _placed(docs, spec)
     rows = materialize(rows, "mix-placed")
-    slots = _taken_blocks(spark, source, told, spec).select("sid", "block", "words")
-    part = _pieces(rows.select("doc_id", "sid", "size", "start"), spec).join(slots, ["sid", "block"], "left")
+    slots = _taken_blocks(source, total, spec).select("sid", "block", "words")
+    told = ("doc_id", "size", "source_size", "target")
+    part = _pieces(rows, spec).join(slots.hint("merge"), ["sid", "block"], "left")  # draws look small to the optimiser until they are rows
     got = F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce("words", F.lit(0)) - F.col("at")))
-    taken = part.groupBy("sid", "start", "doc_id", "size").agg(F.sum(got).alias("taken"))
-    empty = rows.where("size = 0").select("sid", "start", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
-    by = F.broadcast(source.select("sid", "source_size", "target"))
-    return taken.unionByName(empty).join(by, "sid").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    taken = part.groupBy("sid", "start", *told).agg(F.sum(got).cast("long").alias("taken"))
+    return taken.select(*told, "taken").unionByName(rows.where("size = 0").select(*told, F.lit(0).cast("long").alias("taken")))
 
 
 def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
@@ -201,12 +198,11 @@ def mixed_documents(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     the taken words, in order, joined by one blank, and n_chars of these.  Rows
     without words are not in the mix.
     """
-    spark = docs.sparkSession
     columns = docs.columns
-    rows, source, told = _placed(docs, spec, (F.struct(*columns).alias("row"),))  # in one column, no name clashes
+    rows, source, total = _placed(docs, spec, (F.struct(*columns).alias("row"),))  # in one column, no name clashes
     rows = materialize(rows, "mix-placed")
-    slots = _taken_blocks(spark, source, told, spec)
-    part = _pieces(rows.select("sid", "size", "start"), spec).join(slots, ["sid", "block"])
+    slots = _taken_blocks(source, total, spec)
+    part = _pieces(rows.select("sid", "size", "start"), spec).join(slots.hint("merge"), ["sid", "block"])  # as above
     part = part.withColumn("got", F.least(F.col("n"), F.col("words") - F.col("at"))).where("got > 0")
     spans = part.groupBy("sid", "start", "epoch").agg(F.sum("got").alias("got"), F.sort_array(F.collect_list(F.struct("lo", "got"))).alias("spans"))
     text = F.col("row")["text"]

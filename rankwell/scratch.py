@@ -29,7 +29,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes files and folders, where they are still there."""
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for p in paths:
@@ -45,7 +46,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     key = id(spark.sparkContext)
     if key not in _WRITTEN:
         _WRITTEN[key] = (spark, [])
-        atexit.register(_delete, *_WRITTEN[key])
+        atexit.register(delete_paths, *_WRITTEN[key])
     _WRITTEN[key][1].append(path)
     return path
 
@@ -66,7 +67,7 @@ def drop_table(df: DataFrame) -> None:
     """Delete the files behind a table of :func:`materialize` that nothing reads any more."""
     files = df.inputFiles()
     if files:
-        _delete(df.sparkSession, [files[0].rsplit("/", 1)[0]])
+        delete_paths(df.sparkSession, [files[0].rsplit("/", 1)[0]])
 
 
 def release(spark: SparkSession) -> None:

@@ -36,6 +36,19 @@ def powers(n: int) -> np.ndarray:
     return _powers(size)[:n]
 
 
+@lru_cache(maxsize=1)
+def _places(n: int) -> np.ndarray:
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * _A) | np.uint64(1)
+
+
+def places(n: int) -> np.ndarray:
+    """An odd number for each of n places, without a rule between them that a word could follow."""
+    size = 1024
+    while size < n:
+        size *= 2
+    return _places(size)[:n]
+
+
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word of UTF-8 text; equal words have equal hashes."""
     a = np.frombuffer(raw, np.uint8)
@@ -48,7 +61,7 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     dense = a[inside[1:-1]]
     first = np.cumsum(size) - size
     place = np.arange(len(dense)) - np.repeat(first, size)
-    h = np.add.reduceat(_BYTES[dense] * powers(int(size.max()))[place], first)
+    h = np.add.reduceat(mixed(_BYTES[dense] * places(int(size.max()))[place]), first)
     return mixed(h + size.astype(np.uint64)), start, end
 
 

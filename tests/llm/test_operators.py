@@ -296,15 +296,74 @@ def test_substring(docs, empty, batches):
         assert texts == Counter((i, t if len(w) == len(k) else " ".join(k)) for (i, t, *_), w, k in zip(ROWS, WORDS, kept))
 
 
-def test_index_runs(spark):
-    index = substring.FingerprintIndex(spark, fan_in=2)
+def test_index_runs(spark, tmp_path):
+    index = substring.FingerprintIndex(spark, str(tmp_path / "index"), fan_in=2)
     batch = lambda *p: spark.createDataFrame([(x,) for x in p], "print long")
-    again = lambda df: sorted(r.print for r in df.collect())
-    assert again(index.add(batch(1, 2, 2))) == [2]
-    assert again(index.add(batch(1, 3))) == [1]
-    assert again(index.add(batch(3, 4, 5))) == [3] and len(index.runs) == 1
-    assert again(index.add(batch(4))) == [4]
-    assert again(index.repeated()) == [1, 2, 3, 4]
+    again = lambda df: sorted((r.print, r.n) for r in df.collect())
+    assert again(index.add(batch(1, 2, 2))) == [(2, 2)]
+    assert again(index.add(batch(1, 3))) == [(1, 2)]
+    assert again(index.add(batch(3, 4, 5))) == [(3, 2)] and len(index.runs) == 1
+    for r in index.runs:  # as another session finds it: files and manifest only
+        spark.sql(f"DROP TABLE {r}")
+    index = substring.FingerprintIndex(spark, str(tmp_path / "index"))
+    assert again(index.add(batch(4))) == [(4, 2)]
+    assert sorted(r.print for r in index.repeated().collect()) == [1, 2, 3, 4]
+    index.drop()
+
+
+def test_index_runs_stay_in_place(spark):
+    """Neither the merge join with a new run nor the compaction exchanges rows of the runs."""
+    index = substring.FingerprintIndex(spark, buckets=8, fan_in=9)
+    for k in range(3):
+        index.add(spark.range(k * 50, k * 50 + 80).select(F.col("id").alias("print")))
+    plan = index.again(index.read(index.runs[2]), index.runs[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert sorted(r.print for r in index.repeated().collect()) == [*range(50, 80), *range(100, 130)]
+    index.drop()
+
+
+def test_substring_in_two_calls(spark, tmp_path):
+    """Later documents are judged against those of earlier calls, from another session's view of the index."""
+    shared, other = sentence(45), sentence(40)
+    first = [(1, shared + " " + sentence(20)), (2, sentence(80)), (3, other)]
+    later = [(4, sentence(10) + " " + shared), (5, sentence(60)), (6, sentence(5) + " " + other + " " + sentence(3))]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "index")
+    got = substring.substring_dedup(frame(first), index=substring.FingerprintIndex(spark, path)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: 0}
+    index = substring.FingerprintIndex(spark, path)
+    for r in index.runs:
+        spark.sql(f"DROP TABLE {r}")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.substring_dedup(frame(later), index=index).collect()}
+    assert got == {4: (55, 45), 5: (60, 0), 6: (48, 40)}
+
+
+def twins(n):
+    """n pairs of words that a polynomial modulo a power of two can't tell apart."""
+    odd = [bin(i).count("1") % 2 for i in range(1024)]
+    return ["".join("xy"[b ^ k] for b in odd) for k in range(2)] * n
+
+
+def test_windows_are_verified_on_words(spark, monkeypatch):
+    a, b = twins(1)
+    tail = sentence(34)
+    df = spark.createDataFrame([(1, f"{a} {tail}"), (2, f"{b} {tail}")], "doc_id long, text string")
+    assert {r.n_removed for r in substring.substring_dedup(df).collect()} == {0}
+    # even where all words hash alike, the words decide
+    sub = lambda raw: (np.ones(len(raw.split()), np.uint64), None, None)
+    w, mask = substring._candidates(sub(f"{a} {tail}".encode())[0], substring.fingerprints(sub(tail.encode() + b" q")[0], substring.WindowSpec()).view(np.int64), substring.WindowSpec())
+    assert mask.all()
+    assert substring.window_digests(f"{a} {tail}".encode(), [0], 35) != substring.window_digests(f"{b} {tail}".encode(), [0], 35)
+    assert substring.window_digests(f"z {a}\n {tail}".encode(), [1], 35) == substring.window_digests(f"{a} {tail} z".encode(), [0], 35)
+
+
+def test_hot_prints(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_PRINT", 3)
+    shared = sentence(50)
+    rows = [(i, sentence(20) + " " + shared + " " + sentence(20)) for i in range(12)]
+    want = {i: len(t.split()) - len(k) for (i, t), k in zip(rows, brute_substring([t.split() for _, t in rows]))}
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == want and set(want.values()) == {50}
 
 
 def brute_components(sets, ids, percent):

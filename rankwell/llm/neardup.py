@@ -1,6 +1,6 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Documents with equal shingle sets form a class; class representatives meet in
+Documents of the same words in the same order form a class; class representatives meet in
 the buckets of banded signatures.  Candidates compare their signatures batch by batch and
 are dropped once the posterior chance that they are similar falls below the
 chosen miss probability; survivors are confirmed on their full shingle sets.
@@ -61,9 +61,9 @@ def shingles(raw: bytes, words: int) -> np.ndarray:
     return np.unique(runs(h, words) if len(h) >= words else runs(h, len(h)))
 
 
-def shingle_set(text: str, words: int) -> set:
+def shingle_set(text: str | bytes, words: int) -> set:
     """The shingles themselves."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()
+    w = (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).lower().split()
     if len(w) < words:
         return {tuple(w)} if w else set()
     return set(zip(*(w[i:] for i in range(words))))
@@ -111,14 +111,15 @@ def _sketch(spec: NearSpec):
         for b in batches:
             n, digest, bands, sig, odd = [], [], [], [], []
             for t in b.column(1):
-                s = shingles((t.as_py() or "").encode("utf-8", "surrogatepass"), spec.words)
-                n.append(len(s))
+                raw = (t.as_py() or "").encode("utf-8", "surrogatepass").lower()
+                s = shingles(raw, spec.words)
+                n.append(len(shingle_set(raw, spec.words)))  # of the shingles themselves, not their hashes
                 if not len(s):
                     digest.append(None), bands.append(None), sig.append(None), odd.append(None)
                     continue
                 m = signature(s, spec.size)
                 rows = m[: spec.bands * spec.rows].astype(np.uint64).reshape(spec.bands, spec.rows)
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                digest.append(hashlib.blake2b(b" ".join(raw.split()), digest_size=16).digest())
                 bands.append(mixed((rows * weights).sum(axis=1, dtype=np.uint64) + weights[:, 0]).view(np.int64))
                 sig.append((m & 255).astype(np.uint8).tobytes())
                 odd.append(odd_sketch(s))
@@ -232,8 +233,8 @@ def _across(open_: DataFrame, spec: NearSpec) -> DataFrame:
     return x.join(y, met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def link_classes(docs: DataFrame, reps: DataFrame, spec: NearSpec) -> DataFrame:
-    """(node, component) of the representatives (rep, size, bands, sig, odd) that have links."""
+def link_classes(docs: DataFrame, reps: DataFrame, spec: NearSpec, known: DataFrame) -> DataFrame:
+    """(node, component) of the representatives (rep, size, bands, sig, odd) that have links; ``known``: links (a, b) told beforehand."""
     check = _Candidates(docs, reps, spec)
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot")).where("n > 1")
@@ -248,7 +249,7 @@ def link_classes(docs: DataFrame, reps: DataFrame, spec: NearSpec) -> DataFrame:
     ends = likely.select(F.col("a").alias("x"), "*").unionByName(likely.select(F.col("b").alias("x"), "*"))
     best = ends.groupBy("x").agg(F.max(F.struct("equal", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("p"))
     best = best.select((-F.col("p.a")).alias("a"), (-F.col("p.b")).alias("b")).distinct()
-    links = materialize(check.confirm(best, texts), "near-links")
+    links = materialize(check.confirm(best, texts).unionByName(known), "near-links")
     components = materialize(connected_components(links), "near-components")
     more = materialize(check.confirm(_crossing(likely, components), texts), "near-links")
     components = materialize(connected_components(links.unionByName(more)), "near-components")
@@ -281,10 +282,16 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     sketched = rows.mapInArrow(_sketch(spec), "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary, odd array<long>")
     sketched = materialize(sketched, "near-sketches")
     known = sketched.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-reps")
     first = known.join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
     reps = materialize(first.select("digest", "rep", F.col("n_shingles").alias("size"), "bands", "sig", "odd").dropDuplicates(["digest"]), "near-classes")
-    components = link_classes(rows, reps, spec)
+    # rows that share an id but not their words: the id links their classes
+    named = known.select("doc_id", "digest").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("*").alias("n")).where("low != high")
+    named = materialize(named.select(F.col("doc_id").alias("shared")), "near-shared")
+    of_digest = classes.select(F.col("digest").alias("d"), "rep")
+    shared = known.join(named, F.col("doc_id") == F.col("shared"), "left_semi").select("doc_id", "digest").join(of_digest, F.col("digest") == F.col("d"))
+    shared = shared.where("doc_id != rep").select(F.greatest("doc_id", "rep").alias("a"), F.least("doc_id", "rep").alias("b")).distinct()
+    components = link_classes(rows, reps, spec, shared)
     of = _labelled(reps.select(F.col("digest").alias("d"), "rep"), components, "rep", "component")
     out = sketched.select("doc_id", "n_shingles", "digest").join(of, (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")

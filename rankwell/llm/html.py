@@ -10,6 +10,7 @@ holds is the text, of pages without one all that is left of the body.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -49,6 +50,8 @@ MARKS = frozenset(
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _NO_P = BLOCKS - frozenset("body caption dd dt head html legend li optgroup option tbody td tfoot th thead title tr".split())
 _LISTS = frozenset("ul ol dl table menu select".split())
+#: Elements from within which an end tag of a paragraph outside has no effect.
+_SCOPES = frozenset("article main section div td th li aside body button".split())
 
 
 @dataclass(frozen=True)
@@ -80,144 +83,190 @@ def _marked(attributes: str) -> tuple[bool, bool, bool]:
 
 
 class _Page:
-    """One pass over a page: its text blocks, each with the subtrees that hold it."""
+    """One pass over a page: its text blocks, each with the innermost subtree that holds it, in time linear in the source.
+
+    A subtree's hash is made of its tags and texts, white space squeezed, and of the hashes of
+    the subtrees within it.
+    """
 
     def __init__(self, html: str):
         self.html = html
-        self.stack: list[list] = []  # name, start, dropped, article, subtree number, marked drop
-        self.subtrees: list[list[int]] = []  # start, end, whether a text block of an article
-        self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []
+        self.stack: list[list] = []  # name, dropped, article, subtree number
+        self.places: dict[str, list[int]] = {}  # of the open elements of each name
+        self.block_places: list[int] = []
+        self.scope_places: list[int] = []
+        self.inner: list[int] = []  # open subtrees
+        self.sources: list[list[str]] = []  # what each subtree's hash is made of
+        self.prints: list[int] = []
+        self.parents: list[int] = []
+        self.kinds: list[int] = []  # 1: a text block of an article
+        self.blocks: list[tuple[str, bool, int]] = []
         self.parts: list[str] = []
         self._read()
 
+    def _note(self, source: str) -> None:
+        if self.inner:
+            source = " ".join(source.split())
+            if source:
+                self.sources[self.inner[-1]].append(source)
+
     def _flush(self) -> None:
         if self.parts:
             text = " ".join(unescape("".join(self.parts)).split())
             self.parts = []
             if text:
-                top = self.stack[-1] if self.stack else None
-                chain = tuple(e[4] for e in self.stack if e[4] >= 0)
-                self.blocks.append((text, bool(top and top[3]), chain))
+                self.blocks.append((text, bool(self.stack and self.stack[-1][2]), self.inner[-1] if self.inner else -1))
 
-    def _close(self, depth: int, end: int) -> None:
+    def _close(self, depth: int) -> None:
         while len(self.stack) > depth:
-            e = self.stack[-1]
-            if e[0] in BLOCKS:
+            name, _, _, number = self.stack[-1]
+            if name in BLOCKS:
                 self._flush()
-            if e[4] >= 0:
-                self.subtrees[e[4]][1] = end
+                self.block_places.pop()
+            if name in _SCOPES:
+                self.scope_places.pop()
+            self.places[name].pop()
             self.stack.pop()
-
-    def _open(self, name: str, attributes: str, start: int) -> None:
-        top = self.stack[-1] if self.stack else (None, 0, False, False)
+            if number >= 0:
+                self.inner.pop()
+                h = xxhash.xxh64_intdigest("\0".join(self.sources[number])) & ~1 | self.kinds[number]
+                self.sources[number] = []
+                self.prints[number] = h - (1 << 64) if h >> 63 else h
+                self._note(f"{h:x}")
+
+    def _open(self, name: str, attributes: str) -> None:
+        _, above, inside, _ = self.stack[-1] if self.stack else (None, False, False, -1)
         marked, header, main = _marked(attributes) if attributes.strip() else (False, False, False)
-        article = top[3] or name in ("article", "main") or main
-        edge = name in EDGES and (name == "footer" or not top[3]) or header and not top[3]
-        dropped = top[2] or name in DROPPED or edge or marked and name not in ("html", "body", "article", "main")
+        article = inside or name in ("article", "main") or main
+        edge = name in EDGES and (name == "footer" or not inside) or header and not inside
+        dropped = above or name in DROPPED or edge or marked and name not in ("html", "body", "article", "main")
         number = -1
         if name in BLOCKS and name not in ("html", "body", "head", "article", "main") and not main:
-            number = len(self.subtrees)
-            self.subtrees.append([start, len(self.html), int(article and name in TEXT)])
-        self.stack.append([name, start, dropped, article, number])
+            number = len(self.prints)
+            self.parents.append(self.inner[-1] if self.inner else -1)
+            self.prints.append(0)
+            self.sources.append([])
+            self.kinds.append(int(article and name in TEXT))
+            self.inner.append(number)
+        place = len(self.stack)
+        self.places.setdefault(name, []).append(place)
+        if name in BLOCKS:
+            self.block_places.append(place)
+        if name in _SCOPES:
+            self.scope_places.append(place)
+        self.stack.append([name, dropped, article, number])
 
-    def _start(self, name: str, attributes: str, start: int) -> None:
+    def _start(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
             self._flush()
             if name in _NO_P:
-                self._end("p", start)
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] in _LISTS:
-                    break
-                if self.stack[k][0] in _ENDS.get(name, ()):
-                    self._close(k, start)
+                self._end("p")
+            if name in _ENDS:  # items of a list end the one before, up to the innermost list
+                top = max((p[-1] for n in _LISTS if (p := self.places.get(n))), default=-1)
+                ended = [p[k] for n in _ENDS[name] if (p := self.places.get(n)) and (k := bisect_right(p, top)) < len(p)]
+                if ended:
+                    self._close(min(ended))
         elif name == "br":
             self.parts.append(" ")
-        if name not in VOID and not (attributes.endswith("/") and name not in BLOCKS and name not in RAW):
-            self._open(name, attributes, start)
-
-    def _end(self, name: str, at: int, after: int | None = None) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            e = self.stack[k]
-            if e[0] == name:
-                if name in BLOCKS:
-                    self._flush()
-                self._close(k + 1, at)
-                self._close(k, after or at)
-                return
-            if name not in BLOCKS and e[0] in BLOCKS or name == "p" and e[0] in ("article", "main", "section", "div", "td", "th", "li", "aside", "body", "button"):
-                return
+        opens = name not in VOID and not (attributes.endswith("/") and name not in BLOCKS and name not in RAW)
+        if opens:
+            self._open(name, attributes)
+        self._note(f"<{name} {attributes}>")
+
+    def _end(self, name: str) -> None:
+        open_ = self.places.get(name)
+        if not open_:
+            return
+        k = open_[-1]
+        if name not in BLOCKS and self.block_places and self.block_places[-1] > k or name == "p" and self.scope_places and self.scope_places[-1] > k:
+            return
+        if name in BLOCKS:
+            self._flush()
+        self._close(k)
 
     def _read(self) -> None:
         html, at, token = self.html, 0, _TOKEN
         while True:
             i = html.find("<", at)
             text = html[at : len(html) if i < 0 else i]
-            if text and not (self.stack and self.stack[-1][2]):
-                self.parts.append(text)
+            if text:
+                self._note(text)
+                if not (self.stack and self.stack[-1][1]):
+                    self.parts.append(text)
             if i < 0:
                 break
             m = token.match(html, i)
             if m is None:  # a plain <
-                if not (self.stack and self.stack[-1][2]):
+                if not (self.stack and self.stack[-1][1]):
                     self.parts.append("<")
                 at = i + 1
                 continue
             at = m.end()
             if m[1]:
                 name = m[1].lower()
-                if name == "p" and not any(e[0] == "p" for e in self.stack):
+                if name == "p" and not self.places.get("p"):
                     self._flush()
-                self._end(name, i, at)
+                self._end(name)
             elif m[2]:
                 name = m[2].lower()
-                self._start(name, m[3], i)
+                self._start(name, m[3])
                 if name in RAW and self.stack and self.stack[-1][0] == name:
                     found = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
                     inside, at = html[at : found.start() if found else len(html)], found.end() if found else len(html)
-                    if not self.stack[-1][2]:
+                    self._note(inside)
+                    if not self.stack[-1][1]:
                         self.parts.append(inside)
-                    self._close(len(self.stack) - 1, at)
+                    self._close(len(self.stack) - 1)
         self._flush()
-        self._close(0, len(html))
-
-    def prints(self) -> list[int]:
-        """Each subtree's hash: of its source, white space squeezed; the lowest bit is set for an article's text blocks."""
-        out = []
-        for start, end, content in self.subtrees:
-            h = xxhash.xxh64_intdigest(" ".join(self.html[start:end].split())) & ~1 | content
-            out.append(h - (1 << 64) if h >> 63 else h)
-        return out
+        self._close(0)
 
 
-def extract(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """(blocks of the main text, each with the hashes of the subtrees that could be templates; all subtrees' hashes)."""
+def extract(html: str | None) -> tuple[list[tuple[str, int]], list[int], list[int]]:
+    """(blocks of the main text, each with the number of the innermost subtree that holds it, or -1; the subtrees' hashes; their parents)."""
     page = _Page(html or "")
-    prints = page.prints()
     main = [b for b in page.blocks if b[1]] or page.blocks
-    return [(text, [prints[k] for k in chain]) for text, _, chain in main], sorted(set(prints))
+    return [(text, node) for text, _, node in main], page.prints, page.parents
+
+
+def without_templates(blocks: list[tuple[str, int]], prints: list[int], parents: list[int], gone: set[int]) -> str:
+    """The text of the blocks that no subtree of ``gone`` holds."""
+    dead: list[bool] = []
+    for h, parent in zip(prints, parents):  # a parent has a smaller number
+        dead.append(h in gone or parent >= 0 and dead[parent])
+    return "\n".join(t for t, node in blocks if node < 0 or not dead[node])
 
 
-_BLOCK = pa.struct([("text", pa.string()), ("prints", pa.list_(pa.int64()))])
+_BLOCK = pa.struct([("text", pa.string()), ("node", pa.int32())])
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, len(b), 256):
             part = b.slice(at, 256)
-            texts, blocks, prints = [], [], []
-            for h in part.column(5):
-                found, own = extract(h.as_py())
-                settled = not any(p for _, p in found)
+            texts, blocks, prints, parents = [], [], [], []
+            for h in part.column(6):
+                found, own, above = extract(h.as_py())
+                settled = all(node < 0 for _, node in found)
                 texts.append("\n".join(t for t, _ in found) if settled else None)
-                blocks.append(None if settled else [{"text": t, "prints": p} for t, p in found])
+                blocks.append(None if settled else [{"text": t, "node": n} for t, n in found])
                 prints.append(own)
-            arrays = [*part.columns[:5], pa.array(texts, pa.string()), pa.array(blocks, pa.list_(_BLOCK)), pa.array(prints, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "key", "content", "text", "blocks", "prints"])
+                parents.append(None if settled else above)
+            arrays = [*part.columns[:6], pa.array(texts, pa.string()), pa.array(blocks, pa.list_(_BLOCK)), pa.array(prints, pa.list_(pa.int64())), pa.array(parents, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "k1", "k2", "content", "text", "blocks", "prints", "parents"])
+
+
+def _cleared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = []
+        for blocks, prints, parents, gone in zip(*b.columns[2:]):
+            held = [(x["text"], x["node"]) for x in blocks.as_py()]
+            texts.append(without_templates(held, prints.as_py(), parents.as_py(), set(gone.as_py() or ())))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def site_templates(parsed: DataFrame, spec: TemplateSpec) -> DataFrame:
     """(host, print) of the subtrees that recur on many pages of their host; pages of the same content count once."""
-    distinct = parsed.groupBy("host", "content").agg(F.first("prints").alias("prints"))
+    distinct = parsed.groupBy("host", "content").agg(F.first("prints").alias("prints")).withColumn("prints", F.array_distinct("prints"))
     seen = distinct.select("host", F.explode("prints").alias("print")).groupBy("host", "print").agg(F.count("*").alias("n"))
     inner = F.col("print").bitwiseAND(F.lit(1)) == 1
     seen = seen.where(F.col("n") >= F.when(inner, spec.text_pages).otherwise(spec.pages))
@@ -239,17 +288,17 @@ def main_text(pages: DataFrame, spec: TemplateSpec = TemplateSpec()) -> DataFram
     written first, so that the joins broadcast them where they are few and no text moves.
     """
     id_kind, url_kind = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
-    rows = pages.select("page_id", "url", split_url(F.col("url"))[0].alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), F.xxhash64("html").alias("content"), "html")
-    schema = f"page_id {id_kind}, url {url_kind}, host string, key long, content long, text string, blocks array<struct<text: string, prints: array<long>>>, prints array<long>"
+    keys = F.xxhash64("page_id", "url", "html").alias("k1"), F.xxhash64(F.lit(1), "html", "url", "page_id").alias("k2")
+    rows = pages.select("page_id", "url", split_url(F.col("url"))[0].alias("host"), *keys, F.xxhash64("html").alias("content"), "html")
+    schema = f"page_id {id_kind}, url {url_kind}, host string, k1 long, k2 long, content long, text string, blocks array<struct<text: string, node: int>>, prints array<long>, parents array<int>"
     parsed = materialize(rows.mapInArrow(_parsed, schema), "page-blocks")
     templates = materialize(site_templates(parsed, spec), "site-templates")
 
     waiting = parsed.where(F.col("text").isNull())
-    held = waiting.select("host", "key", F.explode(F.array_distinct(F.flatten("blocks.prints"))).alias("print"))
-    gone = held.join(templates, ["host", "print"]).groupBy("key").agg(F.collect_set("print").alias("gone")).withColumnRenamed("key", "k")
+    held = waiting.select("host", "k1", "k2", F.explode(F.array_distinct("prints")).alias("print"))
+    gone = held.join(templates, ["host", "print"]).groupBy("k1", "k2").agg(F.collect_set("print").alias("gone"))
     gone = materialize(gone, "page-templates")
-    waiting = waiting.join(gone, F.col("key") == F.col("k"), "left")
-    left = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["prints"], F.col("gone")), F.lit(False)))
-    waiting = waiting.select("page_id", "url", F.array_join(F.transform(left, lambda b: b["text"]), "\n").alias("text"))
+    waiting = waiting.join(gone, ["k1", "k2"], "left").select("page_id", "url", "blocks", "prints", "parents", "gone")
+    waiting = waiting.mapInArrow(_cleared, f"page_id {id_kind}, url {url_kind}, text string")
     out = parsed.where(F.col("text").isNotNull()).select("page_id", "url", "text").unionByName(waiting)
     return out.withColumn("n_chars", F.length("text").cast("long"))

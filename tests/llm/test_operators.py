@@ -607,6 +607,56 @@ def test_markup(source, want):
     assert "\n".join(t for t, _ in html.extract(source)[0]) == want
 
 
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    blocks, prints, parents = html.extract("<div>" * 100_000 + "deep" + "</div>" * 100_000)
+    assert blocks == [("deep", 99_999)] and len(set(prints)) == 100_000
+    assert html.without_templates(blocks, prints, parents, {prints[5]}) == "" and html.without_templates(blocks, prints, parents, {1}) == "deep"
+    assert len(html.extract("<b>" * 20_000 + "<p>x" * 20_000)[0]) == 20_000
+    assert len(html.extract("<ul>" + "<li>x<b>" * 50_000)[0]) == 50_000
+    assert time.process_time() - began < 30
+
+
+def test_templates_against_brute_force(spark):
+    """Trees made here, so that their subtrees are known without a parser: counted per host and distinct page, deleted where frequent."""
+    rng = random.Random(31)
+    pool = [("div", [("p", [sentence(3, rng)]), ("p", [sentence(2, rng)])]) for _ in range(3)] + [("ul", [("li", [sentence(2, rng)]) for _ in range(3)]) for _ in range(3)]
+
+    def source(t):
+        return t if isinstance(t, str) else f"<{t[0]}>{''.join(map(source, t[1]))}</{t[0]}>"
+
+    def subtrees(t):
+        return {t}.union(*(subtrees(c) for c in t[1] if not isinstance(c, str)))
+
+    def frozen(t):
+        return t if isinstance(t, str) else (t[0], tuple(map(frozen, t[1])))
+
+    def texts(t, gone):
+        if isinstance(t, str):
+            return [t]
+        return [] if t in gone else [x for c in t[1] for x in texts(c, gone)]
+
+    rows, trees = [], {}
+    for i in range(90):
+        own = [("p", [f"own {i}"]), ("div", [("p", [sentence(4, rng)])])]
+        trees[i] = [frozen(t) for t in rng.sample([*own, *(t for k, t in enumerate(pool) if rng.random() < (0.1, 0.2, 0.4, 0.6, 0.9, 0.3)[k])], k=2)] + [frozen(own[0])]
+        rows.append((i, f"http://h{i % 3}.example/{i}", "<body>" + "".join(map(source, trees[i])) + "</body>"))
+    rows += [(100 + i, f"http://h0.example/copy/{i}", rows[0][2]) for i in range(40)]
+    trees |= {100 + i: trees[0] for i in range(40)}
+    pages = defaultdict(dict)
+    for i, u, h in rows:
+        pages[u.split("/")[2]][h] = i
+    want = {}
+    for host, distinct in pages.items():
+        n = Counter(t for i in distinct.values() for t in set().union(*map(subtrees, trees[i])))
+        gone = {t for t, k in n.items() if k >= 5 and k >= 0.3 * len(distinct)}
+        want |= {i: "\n".join(x for t in trees[i] for x in texts(t, gone)) for i, u, _ in rows if host in u}
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and sum(len(want[i].split("\n")) < sum(len(texts(t, ())) for t in trees[i]) for i in want) > 20
+
+
 def test_urls(spark):
     rows = [(0, "HTTP://WWW.Example.COM/en/75?x"), (1, "http://a.com/en/1"), (2, "http://com/en/"), (3, "http://b.com/de/1#f"), (4, None), (5, "no scheme/en/"), (6, "x://h.net"), (7, "http://example.net/de/8a"), (8, "http://xcom/en/"), (None, "://É.COM/en/://z"), (9, "http://a.com/en/1")]
     rows += [(100 + i, f"http://shop.org/{'es' if i % 2 else 'buy'}/item-{i}/x") for i in range(40)]

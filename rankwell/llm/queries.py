@@ -132,11 +132,20 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 
 def _op10_sql(rules: list[Rule], spec: TreeSpec = TreeSpec()) -> str:
     told = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in rules)
-    levels, last = [], "t0"
-    for d in range(spec.depth + 1):
-        levels.append(f"""k{d} AS (SELECT host, template, count(DISTINCT segs[{d + 1}]) > {spec.children} AS many FROM {last} WHERE segs[{d + 1}] IS NOT NULL GROUP BY 1, 2),
-t{d + 1} AS (SELECT {last}.* REPLACE (CASE WHEN segs[{d + 1}] IS NULL THEN {last}.template ELSE {last}.template || '/' || CASE WHEN many THEN '*' ELSE segs[{d + 1}] END END AS template) FROM {last} LEFT JOIN k{d} USING (host, template))""")
-        last = f"t{d + 1}"
+    levels, deep = [], spec.depth + 1
+    for d in range(spec.depth):
+        levels.append(f"""k{d} AS (SELECT host, t{d}, count(DISTINCT segs[{d + 1}]) > {spec.children} AS many FROM l{d} WHERE len(segs) > {d} GROUP BY 1, 2),
+l{d + 1} AS (SELECT l{d}.*, CASE WHEN len(segs) > {d} THEN t{d} || '/' || CASE WHEN many THEN '*' ELSE segs[{d + 1}] END END AS t{d + 1} FROM l{d} LEFT JOIN k{d} USING (host, t{d}))""")
+    levels.append(f"l{deep} AS (SELECT *, CASE WHEN len(segs) > {spec.depth} THEN t{spec.depth} || '/' || array_to_string(segs[{deep}:], '/') END AS t{deep} FROM l{spec.depth})")
+    for d in range(deep + 1):
+        parent = f"t{d - 1}" if d else "''"
+        levels.append(f"""o{d} AS (SELECT host, {parent} AS parent, t{d} AS template, sum(n) AS n, sum(b) AS b FROM l{deep} WHERE t{d} IS NOT NULL GROUP BY 1, 2, 3 HAVING sum(n) > 0),
+q{d} AS (SELECT *, sum(n) OVER w AS pn, sum(b) OVER w AS pb FROM o{d} WINDOW w AS (PARTITION BY host, parent)),
+e{d} AS (SELECT *, (b * pn - n * pb) * (b * pn - n * pb) <= {spec.z2} * n * pb * (pn - pb) AS alike FROM q{d}),
+f{d} AS (SELECT host, template, CASE WHEN alike THEN sum(n) FILTER (WHERE alike) OVER w ELSE n END AS n, CASE WHEN alike THEN sum(b) FILTER (WHERE alike) OVER w ELSE b END AS b FROM e{d} WINDOW w AS (PARTITION BY host, parent)),
+r{d} AS (SELECT host, template AS t{d}, b + {spec.smooth} >= {spec.purity} * (n + 2 * {spec.smooth}) AS rejected{d} FROM f{d})""")
+    nearest = ", ".join(f"rejected{d}" for d in range(deep, -1, -1))
+    joins = " ".join(f"LEFT JOIN r{d} USING (host, t{d})" for d in range(deep + 1))
     return rf"""
 WITH u AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -148,15 +157,11 @@ m AS (
 ), s AS (
   SELECT u.*, rule, told, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM u LEFT JOIN m USING (r)
 ), g AS (
-  SELECT *, list_concat(list_transform(parts[1:{spec.depth}], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' || regexp_extract(x, '(\.[A-Za-z]+)$', 1) ELSE x END), CASE WHEN len(parts) > {spec.depth} THEN ['**'] ELSE [] END) AS segs FROM s
+  SELECT *, list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' || regexp_extract(x, '(\.[A-Za-z]+)$', 1) ELSE x END) AS segs FROM s
 ), a AS (SELECT *, array_to_string(segs, '/') AS key FROM g),
-t0 AS (SELECT host, key, any_value(segs) AS segs, count(told)::DOUBLE AS n, count(*) FILTER (WHERE told = 'block')::DOUBLE AS b, '' AS template FROM a GROUP BY 1, 2),
+l0 AS (SELECT host, key, any_value(segs) AS segs, count(told)::DOUBLE AS n, count(*) FILTER (WHERE told = 'block')::DOUBLE AS b, '' AS t0 FROM a GROUP BY 1, 2),
 {", ".join(levels)},
-o AS (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, sum(n) AS n, sum(b) AS b FROM {last} GROUP BY 1, 2, 3),
-q AS (SELECT *, sum(n) OVER w AS pn, sum(b) OVER w AS pb FROM o WINDOW w AS (PARTITION BY host, parent)),
-e AS (SELECT *, n > 0 AND (b * pn - n * pb) * (b * pn - n * pb) <= {spec.z2} * n * pb * (pn - pb) AS alike FROM q),
-f AS (SELECT host, template, CASE WHEN alike THEN sum(n) FILTER (WHERE alike) OVER w ELSE n END AS n, CASE WHEN alike THEN sum(b) FILTER (WHERE alike) OVER w ELSE b END AS b FROM e WINDOW w AS (PARTITION BY host, parent)),
-j AS (SELECT host, key, f.b + {spec.smooth} >= {spec.purity} * (f.n + 2 * {spec.smooth}) AS rejected FROM {last} JOIN f USING (host, template))
+j AS (SELECT host, key, coalesce({nearest}, false) AS rejected FROM l{deep} {joins})
 SELECT page_id, host, path, rule, coalesce(told, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict FROM a JOIN j USING (host, key)"""
 
 

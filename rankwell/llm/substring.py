@@ -134,10 +134,11 @@ def _windows(spec: WindowSpec):
                 for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
                     if mask[i]:
                         one, first = int(signed[i]), 16 * int(place[i])
-                        step = 1 if one in often else j - i
+                        alone = one in often
+                        step = 1 if alone else j - i
                         for k in range(0, j - i, step):
                             code = own[first + 16 * k : first + 16 * (k + step)]
-                            told = found.setdefault((one, code[0] + 1 if step == 1 else 0, code), [0, k1, k2, i + k])
+                            told = found.setdefault((one, code[0] + 1 if alone else 0, code), [0, k1, k2, i + k])
                             told[0] = min(2, told[0] + 1)
             flat = np.frombuffer(b"".join([k[2] for k in found]), "<i8").reshape(-1, 2)
             sizes = np.cumsum([0] + [len(k[2]) // 16 for k in found])

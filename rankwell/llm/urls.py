@@ -2,9 +2,10 @@
 
 DataFrame functions only.  Paths become templates per host: segments with digits
 and segments with many siblings turn into wildcards.  The urls that rules judge are
-the labelled ones.  Sibling templates whose labelled rates do not differ
-significantly are merged, and a template is rejected if its smoothed share of
-blocked labels is high.
+the labelled ones.  At every level of the tree, sibling branches whose labelled rates do
+not differ significantly are merged, and a branch is rejected if its smoothed share of
+blocked labels is high.  A url gets the verdict of the deepest branch on its path that has
+labels; the host itself is the outermost branch.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_small, materialize
+
+#: Up to so many rows are broadcast to the path shapes or urls; more meet them in a salted join.
+BROADCAST_ROWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,11 +37,12 @@ class Rule:
 
 @dataclass(frozen=True)
 class TreeSpec:
-    """``depth``: levels of the tree, deeper segments share one wildcard; ``children``: a node with
-    more distinct ones has them generalised; ``z2``: squared z up to which siblings are similar;
+    """``depth``: levels of the tree at which segments with many siblings are generalised; deeper ones keep
+    their own branches, one for each rest of a path; ``children``: a node with more distinct ones has them
+    generalised; ``z2``: squared z up to which siblings are similar;
     rejected if (blocked + smooth) / (labelled + 2 smooth) >= purity."""
 
-    depth: int = 3
+    depth: int = 4
     children: int = 16
     z2: float = 3.84
     smooth: float = 1.0
@@ -59,44 +65,57 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column
     return text, verdict
 
 
-def _segments(path: Column, depth: int) -> Column:
-    """The path's first ``depth`` segments, those with digits as wildcards; ``**`` for what is deeper."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+def _segments(path: Column) -> Column:
+    """The path's segments, those with digits as wildcards."""
     wild = lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]+)$", 1))).otherwise(s)
-    head = F.transform(F.slice(parts, 1, depth), wild)
-    return F.when(F.size(parts) > depth, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), wild)
+
+
+def _small(table: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """``table`` as written, and whether it may be broadcast."""
+    table = materialize(table, name)
+    return table, table.count() <= BROADCAST_ROWS
 
 
-def _generalised(leaves: DataFrame, spec: TreeSpec) -> DataFrame:
-    """``leaves`` with column ``template``: at every node, the children become one wildcard if they are many."""
-    out = leaves.withColumn("template", F.lit(""))
-    for d in range(spec.depth + 1):
-        seg = F.get(F.col("segments"), F.lit(d))
-        out = out.withColumn("child", seg)
-        kids = out.where("child is not null").select("host", "template", "child").distinct()
-        many = kids.groupBy("host", "template").agg(F.count("*").alias("kids")).where(F.col("kids") > spec.children).select("host", "template", F.lit(True).alias("many"))
-        out = out.join(many, ["host", "template"], "left")
-        child = F.when(F.col("many"), F.lit("*")).otherwise(F.col("child"))
-        out = out.withColumn("template", F.when(F.col("child").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), child))).drop("many", "child")
-    return out
+def _branches(leaves: DataFrame, spec: TreeSpec) -> DataFrame:
+    """``leaves`` with ``t``: the templates of the branches that hold each, from the host ('') to its own.
+
+    At every node of the first levels, the children become one wildcard if they are many.
+    """
+    out = leaves.withColumn("template", F.lit("")).withColumn("t", F.array(F.lit("")))
+    for d in range(spec.depth):
+        kids = out.where(F.size("segments") > d).select("host", "template", F.get("segments", F.lit(d)).alias("child")).distinct()
+        many = kids.groupBy(F.col("host").alias("h"), F.col("template").alias("of")).agg(F.count("*").alias("kids")).where(F.col("kids") > spec.children).select("h", "of")
+        many, small = _small(many.withColumn("many", F.lit(True)), "url-many")
+        out = join_small(out, many, (F.col("host") == F.col("h")) & (F.col("template") == F.col("of")), F.col("key"), small, "left").drop("h", "of")
+        child = F.when(F.col("many"), F.lit("*")).otherwise(F.get("segments", F.lit(d)))
+        inside = F.size("segments") > d
+        out = out.withColumn("template", F.when(inside, F.concat("template", F.lit("/"), child)).otherwise(F.col("template"))).drop("many")
+        out = out.withColumn("t", F.when(inside, F.concat("t", F.array("template"))).otherwise(F.col("t")))
+    rest = F.concat("template", F.lit("/"), F.array_join(F.slice("segments", spec.depth + 1, F.greatest(F.lit(1), F.size("segments"))), "/"))
+    return out.withColumn("t", F.when(F.size("segments") > spec.depth, F.concat("t", F.array(rest))).otherwise(F.col("t"))).drop("template", "segments")
 
 
 def template_verdicts(judged: DataFrame, spec: TreeSpec) -> DataFrame:
-    """(host, key, rejected) for every lexical path shape ``key`` of ``judged`` (host, key, segments, labelled, blocked)."""
+    """(host, key, rejected) for every lexical path shape ``key`` of ``judged`` (host, key, segments, labelled, blocked)
+    with a labelled branch on its path."""
     leaves = judged.groupBy("host", "key").agg(F.first("segments").alias("segments"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    leaves = _generalised(leaves, spec).drop("segments")
-    nodes = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
-    nodes = nodes.withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
-    pooled = nodes.groupBy("host", "parent").agg(F.sum("n").cast("double").alias("pn"), F.sum("b").cast("double").alias("pb"))
-    nodes = nodes.join(pooled, ["host", "parent"])
+    leaves = materialize(_branches(materialize(leaves, "url-shapes"), spec), "url-leaves")
+    told = leaves.where("labelled > 0").select("host", "labelled", "blocked", F.posexplode("t").alias("level", "template"), "t")
+    told = told.withColumn("parent", F.when(F.col("level") > 0, F.get("t", F.col("level") - 1)).otherwise(F.lit("")))
+    nodes = told.groupBy("host", "level", "parent", "template").agg(F.sum("labelled").cast("double").alias("n"), F.sum("blocked").cast("double").alias("b"))
+    pooled = nodes.groupBy("host", "level", "parent").agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"))
+    nodes = nodes.join(pooled, ["host", "level", "parent"])
     gap = F.col("b") * F.col("pn") - F.col("n") * F.col("pb")
-    alike = (F.col("n") > 0) & (gap * gap <= F.lit(spec.z2) * F.col("n") * F.col("pb") * (F.col("pn") - F.col("pb")))
-    nodes = nodes.withColumn("alike", alike)
-    merged = nodes.where("alike").groupBy("host", "parent").agg(F.sum("n").alias("mn"), F.sum("b").alias("mb"))
-    nodes = nodes.join(merged, ["host", "parent"], "left")
+    nodes = nodes.withColumn("alike", gap * gap <= F.lit(spec.z2) * F.col("n") * F.col("pb") * (F.col("pn") - F.col("pb")))
+    merged = nodes.where("alike").groupBy("host", "level", "parent").agg(F.sum("n").alias("mn"), F.sum("b").alias("mb"))
+    nodes = nodes.join(merged, ["host", "level", "parent"], "left")
     n, b = (F.when(F.col("alike"), F.col(x)).otherwise(F.col(y)) for x, y in (("mn", "n"), ("mb", "b")))
-    nodes = nodes.select("host", "template", ((b + spec.smooth) >= F.lit(spec.purity) * (n + 2 * spec.smooth)).alias("rejected"))
-    return leaves.join(nodes, ["host", "template"]).select("host", "key", "rejected")
+    rejected = ((b + spec.smooth) >= F.lit(spec.purity) * (n + 2 * spec.smooth)).alias("rejected")
+    nodes, small = _small(nodes.select(F.col("host").alias("h"), F.col("level").alias("l"), F.col("template").alias("of"), rejected), "url-nodes")
+    on = leaves.select("host", "key", F.posexplode("t").alias("level", "template"))
+    on = join_small(on, nodes, (F.col("host") == F.col("h")) & (F.col("level") == F.col("l")) & (F.col("template") == F.col("of")), F.col("key"), small)
+    return on.groupBy("host", "key").agg(F.max_by("rejected", "level").alias("rejected"))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], spec: TreeSpec = TreeSpec(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -106,20 +125,21 @@ def judge_urls(pages: DataFrame, rules: list[Rule], spec: TreeSpec = TreeSpec(),
     fits) and verdict (allow or block).  A null url, or one without ``://``, has
     empty host and path and is judged like any other; repeated rows and null ids
     are kept, other columns are ignored, an empty table gives an empty result.
-    Templates without labelled urls are allowed.
+    Hosts without labelled urls are allowed.
 
-    Counts are grouped by (host, path shape) before anything is shuffled whole, so
-    a large host meets in no single task; the last join is split by adaptive execution.
+    Counts are grouped by (host, path shape) before anything is shuffled whole, and what is
+    joined back on a host, a template or a shape is broadcast if it is small and salted
+    if not, so a large host or a frequent url meets in no single task.
     """
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("told"), _segments(F.col("path"), spec.depth).alias("segments"))
+    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("told"), _segments(F.col("path")).alias("segments"))
     rows = rows.withColumn("key", F.array_join("segments", "/"))
     labelled = F.col("told").isNotNull().cast("long")
     judged = rows.select("host", "key", "segments", labelled.alias("labelled"), (F.col("told") == "block").cast("long").alias("blocked"))
     judged = judged.withColumn("blocked", F.coalesce("blocked", F.lit(0)))
-    by_template = template_verdicts(judged, spec).withColumnsRenamed({"host": "h", "key": "k"})
-    out = rows.join(by_template, (rows["host"] == F.col("h")) & (rows["key"] == F.col("k")), "left")
+    rejected, small = _small(template_verdicts(judged, spec).where("rejected").withColumnsRenamed({"host": "h", "key": "k"}), "url-rejected")
+    out = join_small(rows, rejected, (F.col("host") == F.col("h")) & (F.col("key") == F.col("k")), F.col("id"), small, "left")
     method = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("told", method).alias("verdict"))

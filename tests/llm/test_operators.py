@@ -357,6 +357,14 @@ def test_windows_are_verified_on_words(spark, monkeypatch):
     assert substring.window_digests(f"z {a}\n {tail}".encode(), [1], 35) == substring.window_digests(f"{a} {tail} z".encode(), [0], 35)
 
 
+def test_periodic_texts(spark):
+    """Runs of one window and runs of many share their windows."""
+    rows = [(n, " ".join((sentence(n).split() * 9)[:length])) for n, length in ((30, 150), (32, 160), (7, 40), (34, 71), (36, 71), (36, 107))]
+    want = {i: len(t.split()) - len(k) for (i, t), k in zip(rows, brute_substring([t.split() for _, t in rows]))}
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == sorted((i, len(t.split()) - len(k)) for (i, t), k in zip(rows, brute_substring([t.split() for _, t in rows]))) and sum(want.values()) > 300
+
+
 def test_hot_prints(spark, monkeypatch):
     monkeypatch.setattr(substring, "HOT_PRINT", 3)
     shared = sentence(50)
@@ -667,17 +675,84 @@ def test_urls(spark):
     assert got[3] == ("b.com", "/de/1", None, "allow") and got[4] == got[5] == ("", "", None, "allow")
     assert got[6] == ("h.net", "", None, "allow") and got[7][2:] == ("example.net/de/8", "block") and got[8][2:] == (None, "allow")
     assert got[None] == ("É.com", "/en/://z", "com/en/", "block")
-    assert got[101][2:] == ("org/es/", "block") and got[100][2:] == (None, "allow")
+    assert got[101][2:] == ("org/es/", "block") and got[100][2:] == (None, "block")  # all that is known of the host is blocked
     assert urls.judge_urls(df.where("page_id < 0"), queries.RULES).isEmpty()
 
 
+def brute_urls(rows, rules, spec):
+    """Verdicts of (id, url): rules, then the deepest labelled branch, each tree built node by node."""
+    parts, told = {}, {}
+    for i, u in rows:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = ("".join(c.lower() if c.isascii() else c for c in m[1]), m[2]) if m else ("", "")
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        told[i] = max(fits, key=lambda r: (len(r.text), r.text)).verdict if fits else None
+        segments = [("*" + (re.search(r"(\.[A-Za-z]+)$", x) or [""])[0]) if re.search("[0-9]", x) else x for x in re.sub("^/", "", path).split("/")]
+        parts[i] = host, segments
+    chains = {i: [(h, 0, "")] for i, (h, _) in parts.items()}
+    for d in range(spec.depth):
+        kids = defaultdict(set)
+        for i, (_, s) in parts.items():
+            if len(s) > d:
+                kids[chains[i][-1]].add(s[d])
+        for i, (h, s) in parts.items():
+            if len(s) > d:
+                node = chains[i][-1]
+                chains[i].append((h, d + 1, node[2] + "/" + ("*" if len(kids[node]) > spec.children else s[d])))
+    for i, (h, s) in parts.items():
+        if len(s) > spec.depth:
+            chains[i].append((h, spec.depth + 1, chains[i][-1][2] + "/" + "/".join(s[spec.depth :])))
+    n, b, children = Counter(), Counter(), defaultdict(set)
+    for i, chain in chains.items():
+        if told[i]:
+            for k, node in enumerate(chain):
+                n[node] += 1
+                b[node] += told[i] == "block"
+                children[chain[k - 1] if k else (node[0], -1)].add(node)
+    rejected = {}
+    for nodes in children.values():
+        pn, pb = sum(n[x] for x in nodes), sum(b[x] for x in nodes)
+        alike = {x for x in nodes if (b[x] * pn - n[x] * pb) ** 2 <= spec.z2 * n[x] * pb * (pn - pb)}
+        for x in nodes:
+            own = alike if x in alike else {x}
+            rejected[x] = sum(b[y] for y in own) + spec.smooth >= spec.purity * (sum(n[y] for y in own) + 2 * spec.smooth)
+    out = {}
+    for i, chain in chains.items():
+        nearest = [rejected[x] for x in chain if x in rejected]
+        out[i] = told[i] or ("block" if nearest and nearest[-1] else "allow")
+    return out
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_url_tree_against_brute_force(spark, monkeypatch, small):
+    """Deep paths, literal wildcards, variable segments, mixed labels; broadcast and salted joins."""
+    if not small:
+        monkeypatch.setattr(urls, "BROADCAST_ROWS", -1)
+    rng = random.Random(17)
+    words = ["a", "b", "news", "shop", "*", "", "x1", "y2.html", *(f"v{c}" for c in "abcdefghijklmnopqrstuvwxyz")]
+    rows = [(i, f"http://h{rng.randrange(3)}.com/" + "/".join(rng.choice(words[: rng.choice((4, 8, 34))]) for _ in range(rng.randint(0, 8)))) for i in range(900)]
+    rows += [(2000 + i, f"http://deep.com/a/b/c/d/{'good' if i % 2 else 'bad'}/{i}") for i in range(60)] + [(3000, None), (3001, None)]
+    rules = [urls.Rule("block", "h0.com", "/a/"), urls.Rule("allow", "h0.com", "/b/"), urls.Rule("block", "h1.com", "/news/a"), urls.Rule("allow", "h1.com", "/news/b"), urls.Rule("block", "com", "/v"), urls.Rule("allow", "com", "/va/b")]
+    rules += [urls.Rule("block" if k % 4 == 0 else "allow", "deep.com", f"/a/b/c/d/{'bad' if k % 4 == 0 else 'good'}/{k}") for k in range(10, 22) if k % 4 in (0, 1)]
+    spec = urls.TreeSpec(children=6)
+    want = brute_urls(rows, rules, spec)
+    got = {r.page_id: r.verdict for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules, spec).collect()}
+    assert got == want
+    told = {r.page_id: r.rule for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules, spec).collect()} if small else {}
+    free = Counter(want[i] for i in told if told[i] is None)
+    assert not small or min(free["block"], free["allow"]) > 20
+
+
 def test_url_tree(spark):
     """Templates that rules mostly block carry over to urls of the same template that no rule names."""
     rules = [urls.Rule("block", "h.com", f"/x/{k}") for k in range(1, 9)] + [urls.Rule("allow", "h.com", "/y/")]
-    rows = [(i, f"http://h.com/x/{i}") for i in range(1, 100)] + [(1000 + i, f"http://h.com/y/{i}") for i in range(20)] + [(2000 + i, f"http://h.com/z/{i}") for i in range(20)]
+    rows = [(i, f"http://h.com/x/{i}") for i in range(1, 100)] + [(1000 + i, f"http://h.com/y/{i}") for i in range(40)] + [(2000 + i, f"http://h.com/z/{i}") for i in range(20)]
+    rows += [(3000 + i, f"http://deep.com/1/2/3/4/5/{'bad' if i < 20 else 'good'}/{i}") for i in range(40)]
+    rules += [urls.Rule("block", "deep.com", "/1/2/3/4/5/bad/1"), urls.Rule("allow", "deep.com", "/1/2/3/4/5/good/2")]
     got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
     assert all(got[i] == (None, "block") for i in (9, *range(90, 100))) and got[15] == ("h.com/x/1", "block")
-    assert all(got[1000 + i][1] == "allow" for i in range(20)) and all(got[2000 + i] == (None, "allow") for i in range(20))
+    assert all(got[1000 + i][1] == "allow" for i in range(40)) and all(got[2000 + i] == (None, "allow") for i in range(20))  # the host's labels are mixed
+    assert {got[3000 + i][1] for i in range(20)} == {"block"} and {got[3020 + i][1] for i in range(20)} == {"allow"}  # told apart at the sixth segment
     wide = [(i, f"http://w.com/u{chr(97 + i // 26)}{chr(97 + i % 26)}/page") for i in range(60)]
     got = urls.judge_urls(spark.createDataFrame(wide, "page_id long, url string"), [urls.Rule("block", "w.com", f"/u{c}") for c in "ab"])
     assert {r.verdict for r in got.collect()} == {"block"}  # the first segment is variable, its labelled values are all blocked

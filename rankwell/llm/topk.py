@@ -1,20 +1,21 @@
 """Exact top-k search by inner product: three phases with a uniform threshold.
 
 A vector's components form ``lists`` groups; a score is the sum of one partial
-score from each list.  Phase 1 gathers each list's best entries and scores them,
-which gives every query a safe cutoff.  Phase 2 sends the cutoff to all tiles: if a
-score reaches it, a partial score reaches cutoff / lists, so only such entries are
-collected.  Phase 3 scores these exactly and keeps the k best.
+score from each list.  Phase 1 gathers the best entries of each list over a part of the rows;
+the k-th best of their scores is a cutoff that is safe for all rows.  Phase 2 sends it to
+all tiles: an entry that reaches the cutoff has a partial score of cutoff / lists in some
+list, so of the lists seen only entries at that threshold are collected, and of the last list,
+which is not computed, those whose norms could give it.  Phase 3 resolves what is
+left: entries whose partial scores and the bound for the last list reach the cutoff get
+that list's scores, and the k best stay.
 
 Rows meet queries in tiles of bounded size (blocks of queries by blocks of rows).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,29 +25,44 @@ from .common import materialize
 QUERY_BLOCK, ROW_BLOCK = 2048, 16_384
 #: Queries of a tile that are scored at once.
 STEP = 128
+#: Phase 1 reads one row in so many.
+GATHERED = 8
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, v): floor(scale * x) of every component as long, in double arithmetic; only whole vectors of finite components."""
+    """(id, v): floor(scale * x) of every component, whole numbers as doubles; only whole vectors of finite components."""
     x = F.transform(F.col(vec_col), lambda c: c.cast("double"))
     whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    v = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c).cast("long"))
+    # adding 0 makes a negative zero a zero, also if a product is too large for a double it stays the largest one
+    v = F.transform(x, lambda c: F.greatest(F.lit(-1.7e308), F.least(F.lit(1.7e308), F.lit(float(scale)) * c)))
+    v = F.transform(v, lambda c: F.when(F.abs(c) < float(1 << 53), F.floor(c).cast("double")).otherwise(c) + 0.0)  # larger doubles are whole
     return df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width), np.int64)
-    for i, v in enumerate(column):
-        out[i, : len(v)] = v
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of ``width`` components; shorter vectors are filled up with zeros."""
+    lists = column.combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    size = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    if (size == width).all():
+        return flat.reshape(len(size), width)
+    out = np.zeros((len(size), width))
+    first = np.cumsum(size) - size
+    out[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(first, size)] = flat
     return out
 
 
-def _exact(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Integer inner products; in double arithmetic where that is exact."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(r).max(initial=0)) * max(1, q.shape[1])
-    if bound < 2.0**53:
-        return (q.astype(np.float64) @ r.astype(np.float64).T).astype(np.int64)
-    return q @ r.T
+def _small(q: np.ndarray, r: np.ndarray) -> bool:
+    """Whether double arithmetic gives all inner products, and sums of parts of them, exactly."""
+    return float(np.abs(q).max(initial=0)) * float(np.abs(r).max(initial=0)) * max(1, q.shape[1]) < 2.0**53
+
+
+def _large(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Inner products in whole numbers of any size; beyond the range of long, its nearest value."""
+    a, b = ([[int(x) for x in v] for v in m.tolist()] for m in (q, r))
+    return np.array([[max(LOW, min(HIGH, sum(x * y for x, y in zip(u, v)))) for v in b] for u in a], np.int64).reshape(len(q), len(r))
 
 
 def _first_k(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -59,72 +75,85 @@ def _first_k(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
-def _sides(q: pd.DataFrame, r: pd.DataFrame, lists: int):
-    width = max([len(v) for v in q["v"]] + [len(v) for v in r["v"]] + [1])
-    r = r.sort_values("id", kind="stable")
+def _sides(q: pa.Table, r: pa.Table, lists: int):
+    width = max(1, *(int(np.diff(c.offsets.to_numpy()).max(initial=0)) for t in (q, r) for c in t.column("v").chunks))
+    r = r.sort_by("id")
     cuts = [np.arange(g, width, lists) for g in range(min(lists, width))]
-    return _matrix(q["v"], width), _matrix(r["v"], width), q["id"].to_numpy(), r["id"].to_numpy(), cuts
+    return _matrix(q.column("v"), width), _matrix(r.column("v"), width), q.column("id").to_numpy(), r.column("id").to_numpy(), cuts
+
+
+def _table(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+    ids = np.concatenate([f[1] for f in found]) if found else np.array([], np.int64)
+    scores = np.concatenate([f[2] for f in found]) if found else np.array([], np.int64)
+    asked = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found]) if found else np.array([], np.int64)
+    return pa.table({"query_id": pa.array(asked, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.int64())})
 
 
-def _frame(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    if not found:
-        return pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], np.int64)})
-    return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
+def _best(found: list, asked: int, ids: np.ndarray, scores: np.ndarray, k: int) -> None:
+    other = ids != asked
+    ids, scores = ids[other], scores[other]
+    top = _first_k(scores, ids, k)
+    found.append((asked, ids[top], scores[top]))
 
 
 def _gather(k: int, lists: int):
-    """Phase 1 on a tile: each list's k best entries of a query, their scores, and of these the k best."""
+    """Phase 1 on a tile: each list's k best entries of a query, and of these the k best by score."""
 
-    def run(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return _frame([])
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        if not q.num_rows or not r.num_rows:
+            return _table([])
         qm, rm, qi, ri, cuts = _sides(q, r, lists)
-        found = []
+        found: list = []
+        if not _small(qm, rm):
+            for asked, scores in zip(qi, _large(qm, rm)):
+                _best(found, asked, ri, scores, k)
+            return _table(found)
         for s in range(0, len(qi), STEP):
             part = slice(s, s + STEP)
-            best = []
-            for c in cuts:
-                local = _exact(qm[part][:, c], rm[:, c])
-                n = min(k + 1, local.shape[1])
-                best.append(np.argpartition(local, local.shape[1] - n, axis=1)[:, local.shape[1] - n :])
-            for j, entries in enumerate(np.concatenate(best, axis=1)):
-                entries = np.unique(entries)
-                entries = entries[ri[entries] != qi[s + j]]
-                scores = _exact(qm[s + j : s + j + 1], rm[entries])[0]
-                top = _first_k(scores, ri[entries], k)
-                found.append((qi[s + j], ri[entries][top], scores[top]))
-        return _frame(found)
+            partial = [qm[part][:, c] @ rm[:, c].T for c in cuts]
+            n = min(k + 1, len(ri))  # one more, as the query itself may be among them
+            entries = np.concatenate([np.argpartition(p, len(ri) - n, axis=1)[:, len(ri) - n :] for p in partial], axis=1)
+            whole = sum(partial)
+            for j, e in enumerate(entries):
+                e = np.unique(e)
+                _best(found, qi[s + j], ri[e], whole[j, e].astype(np.int64), k)
+        return _table(found)
 
     return run
 
 
 def _collect(k: int, lists: int):
-    """Phases 2 and 3 on a tile: entries of which a partial score reaches its share of the cutoff,
-    scored, those not behind the cutoff entry, and of these the k best."""
+    """Phases 2 and 3 on a tile: entries at the threshold in some list, resolved where they can still reach the cutoff."""
 
-    def run(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return _frame([])
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        if not q.num_rows or not r.num_rows:
+            return _table([])
         qm, rm, qi, ri, cuts = _sides(q, r, lists)
-        low = q["cut_score"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-        last = q["cut_id"].fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
-        found = []
+        found: list = []
+        if not _small(qm, rm):
+            for asked, scores in zip(qi, _large(qm, rm)):
+                _best(found, asked, ri, scores, k)
+            return _table(found)
+        cutoff = q.column("cut_score").fill_null(LOW).to_numpy().astype(np.float64)
+        seen, last = cuts[:-1], cuts[-1]
+        q_norm, r_norm = (np.sqrt((m[:, last] ** 2).sum(axis=1)) for m in (qm, rm))
         for s in range(0, len(qi), STEP):
             part = slice(s, s + STEP)
-            share = -(-low[part] // len(cuts))  # the least integer that is no less than cutoff / lists
-            share = np.where(low[part] == np.iinfo(np.int64).min, low[part], share)
-            reach = np.zeros((len(qi[part]), len(ri)), bool)
-            for c in cuts:
-                reach |= _exact(qm[part][:, c], rm[:, c]) >= share[:, None]
+            low = cutoff[part][:, None]
+            share = np.floor(low / len(cuts))  # no more than the threshold
+            bound = np.floor(q_norm[part][:, None] * r_norm * (1 + 1e-9)) + 1  # no less than the last list's score
+            known, reach = np.zeros(bound.shape), bound >= share
+            for c in seen:
+                p = qm[part][:, c] @ rm[:, c].T
+                reach |= p >= share
+                known += p
+            reach &= known + bound >= low
             for j in range(len(reach)):
-                entries = np.flatnonzero(reach[j])
-                entries = entries[ri[entries] != qi[s + j]]
-                scores = _exact(qm[s + j : s + j + 1], rm[entries])[0]
-                ok = (scores > low[s + j]) | (scores == low[s + j]) & (ri[entries] <= last[s + j])
-                entries, scores = entries[ok], scores[ok]
-                top = _first_k(scores, ri[entries], k)
-                found.append((qi[s + j], ri[entries][top], scores[top]))
-        return _frame(found)
+                e = np.flatnonzero(reach[j])
+                scores = known[j, e] + rm[np.ix_(e, last)] @ qm[s + j, last]
+                ok = scores >= low[j]
+                _best(found, qi[s + j], ri[e[ok]], scores[ok].astype(np.int64), k)
+        return _table(found)
 
     return run
 
@@ -142,7 +171,8 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, lis
     vectors, vectors with null or non-finite components, and null ids take no part;
     a shorter vector counts as filled up with zeros; rows that share an id count
     once (the smallest vector); other columns are ignored; a table without queries
-    or rows gives an empty result.
+    or rows gives an empty result.  Scores are exact whatever the components; one beyond the
+    range of long is its nearest value and ties with others there.
 
     Queries are copied once for each block of rows, rows once for each block of
     queries; a tile returns at most k entries a query.
@@ -160,11 +190,12 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, lis
     asked = queries.select(F.col("id").alias("id"), F.col("v").alias("v")).withColumn("qb", place(query_blocks, 2))
     schema = "query_id long, vec_id long, score long"
 
-    def met(q: DataFrame, fn) -> DataFrame:
+    def met(q: DataFrame, r: DataFrame, fn) -> DataFrame:
         q = q.withColumn("rb", spread(row_blocks))
-        return q.groupBy("qb", "rb").cogroup(tiles.groupBy("qb", "rb")).applyInPandas(fn, schema)
+        return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(fn, schema)
 
-    gathered = _ranked(met(asked, _gather(k, lists)), k)
-    cutoff = gathered.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cut_score"), F.col("vec_id").alias("cut_id"))
+    part = tiles.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(GATHERED)) == 0)
+    gathered = _ranked(met(asked, part.withColumn("rb", F.expr(f"rb - rb % {GATHERED}")), _gather(k, lists)), k)
+    cutoff = gathered.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cut_score"))
     with_cutoff = asked.join(cutoff, "id", "left")
-    return _ranked(met(with_cutoff, _collect(k, lists)), k).select("query_id", "rank", "vec_id", "score")
+    return _ranked(met(with_cutoff, tiles, _collect(k, lists)), k).select("query_id", "rank", "vec_id", "score")

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -186,6 +187,25 @@ def test_topk_tiles(spark, monkeypatch):
     test_topk(spark)
 
 
+def test_topk_prunes(spark):
+    """Of many rows few are resolved, and nothing is lost; components of any size give exact or the nearest scores."""
+    rng = np.random.default_rng(5)
+    m, ids = np.floor(64 * rng.normal(size=(4000, 32))), np.arange(4000)
+    side = lambda k, **more: pa.table({"id": pa.array(ids[k]), "v": pa.array(m[k].tolist(), pa.list_(pa.float64())), **more})
+    exact = m[:40] @ m.T
+    exact[np.arange(40), np.arange(40)] = -np.inf
+    cut = np.sort(exact, axis=1)[:, -20].astype(np.int64)
+    got = topk._collect(20, 4)(side(slice(0, 40), cut_score=pa.array(cut)), side(slice(0, 4000))).to_pydict()
+    for q in range(40):
+        best = sorted(range(4000), key=lambda r: (-exact[q, r], r))[:20]
+        assert [v for a, v in zip(got["query_id"], got["vec_id"]) if a == q] == best
+    huge = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0]), (3, [3e9, 1.0]), (4, [0.0, 2.0]), (20, [1.0, 1.0])]
+    df = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): (r.rank, r.score) for r in topk.top_k(df, k=5).collect()}
+    assert got[0, 1] == (1, topk.HIGH) and got[0, 2] == (5, topk.LOW) and got[0, 4][1] == 64 * 128
+    assert got[20, 3] == (3, 64 * 64 * 3_000_000_001) and got[20, 4][1] == 64 * 128
+
+
 def make_labelled(spark):
     rng = random.Random(2)
     good = [sentence(rng.randint(20, 80), rng).capitalize() + "." for _ in range(150)]

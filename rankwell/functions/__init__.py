@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,27 +68,29 @@ def vbyte_len(v: Column) -> Column:
     return out.cast("long")
 
 
-def _lcp(x, y) -> int:
-    if x is None or y is None:
-        return 0
-    x, y = (v.encode() if isinstance(v, str) else bytes(v) for v in (x, y))
-    n = min(len(x), len(y))
-    if x[:n] == y[:n]:
+def shared_bytes(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Bytes that the rows of two string or binary arrays share at their beginnings, compared all at once."""
+    x, y = (a.cast(pa.large_binary()).fill_null(b"") for a in (x, y))
+    sides = [(np.frombuffer(a.buffers()[2] or b"", np.uint8), np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]) for a in (x, y)]
+    n = np.minimum(*(np.diff(o) for _, o in sides))
+    if not n.sum():
         return n
-    lo, hi = 0, n  # x[:lo] agrees, x[:hi] does not
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        lo, hi = (mid, hi) if x[:mid] == y[:mid] else (lo, mid)
-    return lo
+    row, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    place = np.arange(len(row)) - first[row]
+    (a, i), (b, j) = sides
+    differs = a[i[:-1][row] + place] != b[j[:-1][row] + place]
+    out = n.copy()
+    np.minimum.at(out, row[differs], place[differs])
+    return out
 
 
 def byte_lcp(a: Column | str, b: Column | str) -> Column:
     """Bytes that two strings or byte strings share at their beginnings; 0 with null."""
 
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_lcp(i, j) for i, j in zip(x, y)], dtype="int64")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(shared_bytes(x, y), pa.int64())
 
-    return F.pandas_udf(run, "long")(a, b)
+    return F.arrow_udf(run, "long")(a, b)
 
 
 def bit_lcp(a: Column, b: Column) -> Column:

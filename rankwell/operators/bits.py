@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import low_bits, mask, rank_in_word, select_in_word, shift_left, shift_right
+from ..functions import low_bits, mask, ones_in_word, rank_in_word, select_in_word, shift_left, shift_right
 from .scan import as_of, block_sums
 
 
@@ -36,11 +36,26 @@ class BitVector:
         out = self.words.select("word_idx", "word", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
         return out.select((F.col("word_idx") * 64 + F.col("i")).alias("pos"), (F.getbit("word", "i") == 1).alias("bit")).where(F.col("pos") < self.length)
 
+    def _set(self, word) -> DataFrame:
+        """(pos) of the set bits of ``word``, an expression over each stored word; other bits make no rows."""
+        out = self.words.select("word_idx", F.explode(ones_in_word(word)).alias("i"))
+        return out.select((F.col("word_idx") * 64 + F.col("i")).alias("pos")).where(F.col("pos") < self.length)
+
     def ones(self) -> DataFrame:
-        return self.bits().where("bit").select("pos")
+        return self._set(F.col("word"))
 
     def zeros(self) -> DataFrame:
-        return self.bits().where("not bit").select("pos")
+        return self._set(F.bitwise_not("word"))
+
+    def count_zeros(self) -> DataFrame:
+        return self.count_ones().select((F.lit(self.length) - F.col("ones")).cast("long").alias("zeros"))
+
+    def trimmed(self, length: int | None = None) -> BitVector:
+        """The first ``length`` bits; only the last word changes."""
+        n = self.length if length is None else min(length, self.length)
+        left = F.lit(n) - F.col("word_idx") * 64
+        kept = self.words.where(left > 0)
+        return BitVector(kept.select("word_idx", F.when(left < 64, low_bits(F.col("word"), left)).otherwise(F.col("word")).alias("word")), n)
 
     def count_ones(self) -> DataFrame:
         return self.words.agg(F.coalesce(F.sum(F.bit_count("word")), F.lit(0)).cast("long").alias("ones"))
@@ -79,19 +94,25 @@ class BitVector:
         return BitVector(out.select("word_idx", word.alias("word")), self.length)
 
     def append(self, other: BitVector) -> BitVector:
-        moved = other.bits().select((F.col("pos") + self.length).alias("pos"), "bit")
-        return BitVector.from_bits(self.bits().unionByName(moved), "pos", "bit", self.length + other.length)
+        """Whole words move, each into the one or two words that it covers here."""
+        words, off = other.trimmed().words, self.length % 64
+        at = F.col("word_idx") + self.length // 64
+        out = self.trimmed().words.unionByName(words.select(at.alias("word_idx"), shift_left(F.col("word"), F.lit(off)).alias("word")))
+        if off:
+            out = out.unionByName(words.select((at + 1).alias("word_idx"), shift_right(F.col("word"), F.lit(64 - off)).alias("word")))
+        n = self.length + other.length
+        return BitVector(out.groupBy("word_idx").agg(F.bit_or("word").alias("word")).where(F.col("word_idx") * 64 < n), n)
 
     def append_value(self, value: int, width: int) -> BitVector:
-        spark = self.words.sparkSession
-        new = spark.range(width).select((F.col("id") + self.length).alias("pos"), (F.getbit(F.lit(value).cast("long"), F.col("id").cast("int")) == 1).alias("bit"))
-        return BitVector.from_bits(self.bits().unionByName(new), "pos", "bit", self.length + width)
+        """The lowest ``width`` (up to 64) bits of ``value``."""
+        value &= (1 << width) - 1
+        word = value - (1 << 64) if value >> 63 else value
+        return self.append(BitVector(self.words.sparkSession.createDataFrame([(0, word)], "word_idx long, word long"), width))
 
     def resize(self, length: int, value: bool = False) -> BitVector:
         if length <= self.length:
-            return BitVector.from_bits(self.bits().where(F.col("pos") < length), "pos", "bit", length)
-        more = self.words.sparkSession.range(self.length, length).select(F.col("id").alias("pos"), F.lit(value).alias("bit"))
-        return BitVector.from_bits(self.bits().unionByName(more), "pos", "bit", length)
+            return self.trimmed(length)
+        return self.append(BitVector.filled(self.words.sparkSession, length - self.length, value))
 
     def push(self, bit: bool) -> BitVector:
         return self.resize(self.length + 1, bit)
@@ -103,8 +124,9 @@ class BitVector:
         """Same length and bits; bits past the length don't count."""
         if self.length != other.length:
             return False
-        a, b = self.ones(), other.ones()
-        return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+        a, b = (v.trimmed().words.where("word != 0") for v in (self, other))
+        both = a.join(b.select(F.col("word_idx").alias("w"), F.col("word").alias("x")), F.col("word_idx") == F.col("w"), "full")
+        return both.where("word is distinct from x").isEmpty()
 
     def chunks(self, bits: int) -> DataFrame:
         """(chunk, pos, bit): disjoint chunks of a multiple of 64 bits."""
@@ -166,6 +188,24 @@ class FieldVector:
         told = df.agg(F.count("*"), F.max(val)).first()
         return cls(df.select(F.col(idx).alias("idx"), F.col(val).cast("long").alias("val")), max(1, int(told[1]).bit_length()) if told[0] else 0, told[0])
 
+    @classmethod
+    def zeros(cls, spark, width: int, length: int) -> FieldVector:
+        """``length`` elements of ``width`` bits, all 0."""
+        return cls(spark.range(length).select(F.col("id").alias("idx"), F.lit(0).cast("long").alias("val")), width, length)
+
+    def slice(self, start: int, end: int) -> FieldVector:
+        """Elements start to end - 1, numbered from 0."""
+        if not 0 <= start <= end <= self.length:
+            raise ValueError("the slice leaves the vector")
+        part = self.rows.where((F.col("idx") >= start) & (F.col("idx") < end))
+        return FieldVector(part.select((F.col("idx") - start).alias("idx"), "val"), self.width, end - start)
+
+    def chunks(self, size: int) -> DataFrame:
+        """(chunk, idx, val): disjoint chunks of ``size`` elements that fill whole words."""
+        if size <= 0 or size * self.width % 64:
+            raise ValueError("a chunk must fill whole words")
+        return self.rows.withColumn("chunk", F.expr(f"idx div {size}"))
+
     def get(self, probes: DataFrame, i: str) -> DataFrame:
         r = self.rows.withColumnRenamed("idx", "_i")
         return probes.join(r, F.col(i) == F.col("_i"), "left").drop("_i")

@@ -16,6 +16,11 @@ def contains(keys: DataFrame, key: str, probes: DataFrame, q: str) -> DataFrame:
     return probes.join(keys.select(F.col(key).alias("_k")), F.col(q) == F.col("_k"), "left_semi")
 
 
+def absent(keys: DataFrame, key: str, probes: DataFrame, q: str) -> DataFrame:
+    """The probes that are none of the keys; null probes are none."""
+    return probes.join(keys.select(F.col(key).alias("_k")), F.col(q) == F.col("_k"), "left_anti")
+
+
 @dataclass
 class FingerprintFilter:
     """One b-bit fingerprint for each key, in a slot by another hash; slots hold one key on average."""

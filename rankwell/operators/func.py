@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BuildError, DuplicateKey, MismatchedKeysAndValues, NotMonotone, ValueTooLarge
-from ..functions import bit_lcp, bit_len, low_bits
+from ..functions import bit_lcp, bit_len
 from .scan import dense_index
 
 #: Space of a static function a key, relative to its values.
@@ -48,13 +48,11 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def signed_get(function: DataFrame, probes: DataFrame, q: str, hash_width: int = 64, seed: int = 0) -> DataFrame:
-    """Adds ``value`` if the stored and the probe's truncated hash agree; exact on the keys of ``function`` (key, value)."""
-    if not 1 <= hash_width <= 64:
-        raise BuildError("the hash width must be from 1 to 64")
-    stored = function.withColumn("_sig", low_bits(F.xxhash64(F.lit(seed), "key"), hash_width))
-    out = probes.join(stored, F.col(q) == F.col("key"), "left")
-    ok = F.col("_sig") == low_bits(F.xxhash64(F.lit(seed), F.col(q)), hash_width)
-    return out.select(*probes.columns, F.when(ok, F.col("value")).alias("value"))
+    """Adds ``value`` of ``function`` (key, value) through a signed static function: exact on its keys, null off them
+    but for a share of 2^-hash_width."""
+    from .static import SignedFunction
+
+    return SignedFunction.build(function, "key", "value", hash_width, seed).get(probes, q)
 
 
 def histogram(df: DataFrame, value: str) -> DataFrame:
@@ -70,9 +68,10 @@ def split_costs(df: DataFrame, value: str) -> DataFrame:
     if told["total"] is None:
         return df.sparkSession.createDataFrame([], "r long, cost double")
     w = max(1, int(told["top"]).bit_length())
-    sizes = [(r, (1 << r) - 1) for r in range(w + 1)]
-    s = df.sparkSession.createDataFrame(sizes, "r long, kept long")
-    held = F.broadcast(s).join(h, F.col("pos") < F.col("kept"), "left").groupBy("r", "kept").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("held"))
+    # pos < 2^r - 1 exactly if pos + 1 has r bits at most: sums by that number of bits, 64 at most, then their prefix sums
+    by_bits = {r["bits"]: r["n"] for r in h.groupBy(bit_len(F.col("pos") + 1).alias("bits")).agg(F.sum("n").alias("n")).collect()}
+    sizes = [(r, (1 << r) - 1, sum(n for bits, n in by_bits.items() if bits <= r)) for r in range(w + 1)]
+    held = df.sparkSession.createDataFrame(sizes, "r long, kept long, held long")
     cost = F.lit(EXPANSION) * told["total"] * F.greatest(F.lit(1), F.col("r")) + F.lit(EXPANSION) * (told["total"] - F.col("held")) * w + F.col("kept") * 64
     return held.select("r", F.round(cost, 3).alias("cost"))
 

@@ -49,7 +49,12 @@ def block_sums(df: DataFrame, value: str, pos: str, name: str = "before", block:
     """As :func:`prefix_sums` where ``pos`` numbers the rows densely: blocks of positions need no ranges."""
     rows = df.withColumn("_b", F.expr(f"{pos} div {block}"))
     sums = rows.groupBy("_b").agg(F.sum(value).alias("_n"))  # one row a block
-    base = sums.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(UPTO, -1)), F.lit(0))).select("_b", "_base")
+    # blocks of blocks, so that the window without partitions has one row in block * block positions
+    sums = sums.withColumn("_g", F.expr(f"_b div {block}"))
+    groups = sums.groupBy("_g").agg(F.sum("_n").alias("_m"))
+    groups = groups.select("_g", F.coalesce(F.sum("_m").over(Window.orderBy("_g").rowsBetween(UPTO, -1)), F.lit(0)).alias("_far"))
+    near = F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(UPTO, -1)), F.lit(0))
+    base = sums.withColumn("_near", near).join(groups, "_g").select("_b", (F.col("_far") + F.col("_near")).alias("_base"))
     inside = F.coalesce(F.sum(value).over(Window.partitionBy("_b").orderBy(pos).rowsBetween(UPTO, -1)), F.lit(0))
     return rows.withColumn("_in", inside).join(base, "_b").withColumn(name, (F.col("_base") + F.col("_in")).cast("long")).drop("_b", "_in", "_base")
 

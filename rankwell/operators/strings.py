@@ -131,12 +131,28 @@ class StringList:
         """(block, n, payload)."""
         ratio = self.ratio
 
-        def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by("idx")
-            s = [v.encode() if isinstance(v, str) else v for v in table.column("s").to_pylist()]
-            return pa.table({"block": pa.array([table.column("idx")[0].as_py() // ratio], pa.int64()), "n": pa.array([len(s)], pa.int32()), "payload": pa.array([encode_block(s)], pa.binary())})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held = None, []  # the block that a batch may end within
+
+            def coded(done: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.int64()), pa.array([len(s) for _, s in done], pa.int32()), pa.array([encode_block(s) for _, s in done], pa.binary())], names=["block", "n", "payload"])
 
-        return self.rows.withColumn("block", F.expr(f"idx div {ratio}")).groupBy("block").applyInArrow(run, "block long, n int, payload binary")
+            for b in batches:
+                done = []
+                for block, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if block != at:
+                        if held:
+                            done.append((at, held))
+                        at, held = block, []
+                    held.append(s.encode() if isinstance(s, str) else s)
+                yield coded(done)
+            if held:
+                yield coded([(at, held)])
+
+        # ranges of blocks, each in order within its partition: one call a partition, not a block
+        rows = self.rows.select(F.expr(f"idx div {ratio}").alias("block"), "s", "idx")
+        rows = rows.repartitionByRange(int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("idx")
+        return rows.select("block", "s").mapInArrow(run, "block long, n int, payload binary")
 
     @staticmethod
     def decode(blocks: DataFrame, ratio: int, as_bytes: bool = False) -> DataFrame:

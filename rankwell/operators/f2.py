@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +45,36 @@ def equations(df: DataFrame) -> DataFrame:
 
 
 def solve_systems(terms: DataFrame, constants: DataFrame) -> DataFrame:
-    """(system, var, value) from (system, eq, var) and (system, eq, c); unsolvable ones raise."""
+    """(system, var, value) from (system, eq, var) and (system, eq, c); unsolvable ones raise.
+
+    Systems lie one after another in the partitions, so many small ones share a call."""
+
+    def solved(system: int, rows: list[tuple[int, int | None, int]]) -> list[tuple[int, int, int]]:
+        eqs: dict[int, tuple[set[int], int]] = {}
+        for eq, var, c in rows:
+            vars_, _ = eqs.setdefault(eq, (set(), c))
+            if var is not None:
+                vars_.add(var)
+        got = solve(list(eqs.values()))
+        return [(system, v, got.get(v, 0)) for v in sorted({v for _, v, _ in rows if v is not None})]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []  # a system may go on in the next batch
+
+        def table(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["system", "var", "value"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        eqs = [(set(g["var"].dropna().astype(int)), int(g["c"].iloc[0])) for _, g in pdf.groupby("eq")]
-        got = solve(eqs)
-        names = sorted(set(pdf["var"].dropna().astype(int)))
-        return pd.DataFrame({"system": pdf["system"].iloc[0], "var": names, "value": [got.get(v, 0) for v in names]})
+        for b in batches:
+            out = []
+            for system, eq, var, c in zip(*(col.to_pylist() for col in b.columns)):
+                if system != at:
+                    out += solved(at, held) if held else []
+                    at, held = system, []
+                held.append((eq, var, c))
+            yield table(out)
+        if held:
+            yield table(solved(at, held))
 
-    rows = constants.join(equations(terms), ["system", "eq"], "left").select("system", "eq", "var", "c")
-    return rows.groupBy("system").applyInPandas(run, "system long, var long, value long")
+    rows = constants.join(equations(terms), ["system", "eq"], "left")
+    rows = rows.select(*(F.col(c).cast("long").alias(c) for c in ("system", "eq", "var", "c")))
+    return rows.repartition("system").sortWithinPartitions("system").mapInArrow(run, "system long, var long, value long")

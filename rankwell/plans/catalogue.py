@@ -13,6 +13,9 @@ from ..operators.bits import BitVector, FieldVector, RankSelect
 from ..operators.monotone import MonotoneSeq
 from ..operators.scan import dense_index
 from ..operators.strings import StringList, mapped_get
+from ..scratch import materialize, new_path
+from ..sources import lines
+from ..streaming import lookups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,15 +50,8 @@ def _probes(spark, d) -> DataFrame:
     return _t(spark, d, "customer").select((F.col("c_custkey") * 13 + 3).alias("q"))
 
 
-@query("WITH v AS (SELECT o_orderkey AS value, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders) SELECT idx AS i, value FROM v WHERE idx % 97 = 0")
-def ef_get(spark, d):
-    o = _t(spark, d, "orders")
-    seq = MonotoneSeq.from_values(o, "o_orderkey")
-    return seq.get(spark.range(0, seq.n, 97).select(F.col("id").alias("i")), "i")
-
-
 @query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderkey AS value FROM orders")
-def ef_get_all(spark, d):
+def ef_get(spark, d):
     """Every position."""
     seq = MonotoneSeq.from_values(_t(spark, d, "orders"), "o_orderkey")
     return seq.get(spark.range(seq.n).select(F.col("id").alias("i")), "i")
@@ -132,6 +128,23 @@ def ef_iter_back_from_pred(spark, d):
     return seq.cursor(at, "start", 5, backward=True).select("q", "step", "idx", "value")
 
 
+_SUCC_STRICT, _PRED_STRICT = _SUCC.replace("value >= q", "value > q"), _PRED.replace("value <= q", "value < q")
+
+
+@query(_SUCC_STRICT + "SELECT q, idx - start AS step, idx, value FROM b JOIN v ON idx >= start AND idx < start + 5")
+def ef_iter_from_succ_strict(spark, d):
+    seq = _seq(spark, d)
+    at = seq.succ(_probes(spark, d), "q", strict=True).select("q", F.col("idx").alias("start"))
+    return seq.cursor(at, "start", 5).select("q", "step", "idx", "value")
+
+
+@query(_PRED_STRICT + "SELECT q, start - 1 - idx AS step, idx, value FROM b JOIN v ON idx < start AND idx >= start - 5")
+def ef_iter_back_from_pred_strict(spark, d):
+    seq = _seq(spark, d)
+    at = seq.pred(_probes(spark, d), "q", strict=True).select("q", F.col("idx").alias("start"))
+    return seq.cursor(at, "start", 5, backward=True).select("q", "step", "idx", "value")
+
+
 @query("SELECT row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS step, o_orderkey AS value FROM orders")
 def ef_iter_back(spark, d):
     seq = MonotoneSeq.from_values(_t(spark, d, "orders"), "o_orderkey")
@@ -235,6 +248,43 @@ def bv_chunks(spark, d):
     return _bits(spark, d).chunks(1024).groupBy("chunk").agg(F.count_if("bit").alias("ones"))
 
 
+@query(_B + "SELECT pos FROM b WHERE bit UNION ALL SELECT count(*) FROM b")
+def bv_push(spark, d):
+    return _bits(spark, d).push(True).ones()
+
+
+@query(_B + "SELECT pos FROM b WHERE bit AND pos < (SELECT count(*) - 1 FROM b)")
+def bv_pop(spark, d):
+    return _bits(spark, d).pop().ones()
+
+
+@query(_B + "SELECT pos, bit FROM b")
+def bv_iter(spark, d):
+    return _bits(spark, d).bits()
+
+
+@query(_B + "SELECT count(*) FILTER (WHERE NOT bit) AS zeros FROM b")
+def bv_count_zeros(spark, d):
+    return _bits(spark, d).count_zeros()
+
+
+@query("SELECT i AS pos FROM range((SELECT count(*) FROM customer)) t(i)")
+def bv_filled(spark, d):
+    """A new vector of ones."""
+    return BitVector.filled(spark, _t(spark, d, "customer").count(), True).ones()
+
+
+@query("SELECT count(*) AS zeros FROM customer")
+def bv_reset(spark, d):
+    return BitVector.filled(spark, _t(spark, d, "customer").count(), False).count_zeros()
+
+
+@query("SELECT true AS same, false AS flipped, false AS longer")
+def bv_equals(spark, d):
+    v = _bits(spark, d)
+    return spark.createDataFrame([(v.equals(v.flip().flip()), v.equals(v.flip()), v.equals(v.push(False)))], "same boolean, flipped boolean, longer boolean")
+
+
 # --------------------------------------------------------------------- rank and select
 
 _E = "WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, event_type = 'purchase' AS bit FROM events), t AS (SELECT count(*) AS n, count(*) FILTER (WHERE bit) AS ones FROM e) "
@@ -278,6 +328,12 @@ def select_in_word(spark, d):
     return w.select("k", fx.select_in_word(F.col("word"), F.lit(2)).alias("pos"))
 
 
+@query("WITH w AS (SELECT o_orderkey AS k, o_orderkey * 7919 + 13 AS word FROM orders), s AS (SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS r FROM w, range(63) t(i) WHERE (word >> i::INT) & 1 = 0) SELECT k, i AS pos FROM s WHERE r = 5")
+def select_zero_in_word(spark, d):
+    w = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 7919 + 13).alias("word"))
+    return w.select("k", fx.select_zero_in_word(F.col("word"), F.lit(5)).alias("pos"))
+
+
 # ----------------------------------------------------------------------- bit fields
 
 
@@ -318,59 +374,83 @@ def bfv_iter_from(spark, d):
     return _sizes(spark, d).scan(100)
 
 
-# -------------------------------------------------------------------------- strings
+@query("SELECT i AS idx, 0::BIGINT AS val FROM range((SELECT count(*) FROM part)) t(i)")
+def bfv_zeros(spark, d):
+    return FieldVector.zeros(spark, 6, _t(spark, d, "part").count()).rows
 
-_S = "WITH s AS (SELECT p_name AS s, row_number() OVER (ORDER BY p_name) - 1 AS idx FROM part), w AS (SELECT DISTINCT p_name AS q FROM part WHERE p_partkey % 5 = 0 UNION SELECT r_name FROM region) "
 
+@query("SELECT p_partkey AS idx, p_size::BIGINT AS val FROM part UNION ALL SELECT count(*), 7 FROM part")
+def bfv_push(spark, d):
+    return _sizes(spark, d).push(7).rows
 
-def _names(spark, d) -> StringList:
-    return StringList.sorted(_t(spark, d, "part"), "p_name")
 
+@query("SELECT p_partkey AS idx, p_size::BIGINT AS val FROM part WHERE p_partkey < (SELECT count(*) - 1 FROM part)")
+def bfv_pop(spark, d):
+    return _sizes(spark, d).pop().rows
 
-def _words(spark, d) -> DataFrame:
-    return _t(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_name").alias("q")).union(_t(spark, d, "region").select("r_name")).distinct()
 
+@query("SELECT i AS idx, coalesce(p_size, 3)::BIGINT AS val FROM range((SELECT count(*) + 100 FROM part)) t(i) LEFT JOIN part ON i = p_partkey")
+def bfv_resize(spark, d):
+    v = _sizes(spark, d)
+    return v.resize(v.length + 100, 3).rows
 
-@query(_S + "SELECT idx AS i, s FROM s WHERE idx % 7 = 0")
-def rcl_get(spark, d):
-    v = _names(spark, d)
-    return v.get(spark.range(0, v.n, 7).withColumnRenamed("id", "i"), "i")
 
+@query("SELECT p_partkey AS idx, 0::BIGINT AS val FROM part")
+def bfv_reset(spark, d):
+    return _sizes(spark, d).filled(0).rows
 
-@query(_S + "SELECT q, min(idx) AS idx FROM w LEFT JOIN s ON s = q GROUP BY q")
-def rcl_index_of(spark, d):
-    return _names(spark, d).index_of(_words(spark, d), "q")
+
+@query("SELECT true AS same, false AS reset")
+def bfv_equals(spark, d):
+    v = _sizes(spark, d)
+    return spark.createDataFrame([(v.equals(v.copy(0, v, 0, v.length)), v.equals(v.filled(0)))], "same boolean, reset boolean")
 
 
-@query(_S + "SELECT q FROM w WHERE q IN (SELECT s FROM s)")
-def rcl_contains(spark, d):
-    return _names(spark, d).contains(_words(spark, d), "q")
+@query("WITH w AS (SELECT length(bin(max(p_size))) AS w FROM part) SELECT p_partkey * w + i AS pos FROM part, w, range(32) t(i) WHERE i < w AND (p_size >> i::INT) & 1 = 1")
+def bfv_pack(spark, d):
+    """Set bits of all fields, one after another."""
+    return _sizes(spark, d).pack().ones()
+
+
+@query("SELECT p_partkey - 20 AS idx, p_size::BIGINT AS val FROM part WHERE p_partkey >= 20 AND p_partkey < 150")
+def bfv_slice(spark, d):
+    return _sizes(spark, d).slice(20, 150).rows
 
 
-_SA = "WITH s AS (SELECT p_name AS s, row_number() OVER (ORDER BY p_name) - 1 AS idx FROM part), w AS (SELECT p_name AS q FROM part UNION SELECT r_name FROM region) "
+@query("SELECT p_partkey // 32 AS chunk, sum(p_size)::BIGINT AS total FROM part GROUP BY 1")
+def bfv_chunks(spark, d):
+    return _sizes(spark, d).chunks(32).groupBy("chunk").agg(F.sum("val").alias("total"))
 
 
-def _all_words(spark, d) -> DataFrame:
+# -------------------------------------------------------------------------- strings
+
+_S = "WITH s AS (SELECT p_name AS s, row_number() OVER (ORDER BY p_name) - 1 AS idx FROM part), w AS (SELECT p_name AS q FROM part UNION SELECT r_name FROM region) "
+
+
+def _names(spark, d) -> StringList:
+    return StringList.sorted(_t(spark, d, "part"), "p_name")
+
+
+def _words(spark, d) -> DataFrame:
     return _t(spark, d, "part").select(F.col("p_name").alias("q")).union(_t(spark, d, "region").select("r_name")).distinct()
 
 
-@query(_SA + "SELECT idx AS i, s FROM s")
-def rcl_get_all(spark, d):
+@query(_S + "SELECT idx AS i, s FROM s")
+def rcl_get(spark, d):
     """Every position."""
     v = _names(spark, d)
     return v.get(spark.range(v.n).withColumnRenamed("id", "i"), "i")
 
 
-@query(_SA + "SELECT q, min(idx) AS idx FROM w LEFT JOIN s ON s = q GROUP BY q")
-def rcl_index_of_all(spark, d):
-    """Every name."""
-    return _names(spark, d).index_of(_all_words(spark, d), "q")
+@query(_S + "SELECT q, min(idx) AS idx FROM w LEFT JOIN s ON s = q GROUP BY q")
+def rcl_index_of(spark, d):
+    """Every name, and words that are none."""
+    return _names(spark, d).index_of(_words(spark, d), "q")
 
 
-@query(_SA + "SELECT q FROM w WHERE q IN (SELECT s FROM s)")
-def rcl_contains_all(spark, d):
-    """Every name."""
-    return _names(spark, d).contains(_all_words(spark, d), "q")
+@query(_S + "SELECT q FROM w WHERE q IN (SELECT s FROM s)")
+def rcl_contains(spark, d):
+    return _names(spark, d).contains(_words(spark, d), "q")
 
 
 @query(_S + "SELECT idx, s FROM s WHERE idx >= 150")
@@ -407,6 +487,29 @@ def rcl_encode_decode(spark, d):
     return StringList.decode(v.encode(), v.ratio)
 
 
+@query("SELECT row_number() OVER (ORDER BY c_name) - 1 AS idx, c_name AS s FROM customer")
+def rcl_stored_blocks(spark, d):
+    """Coded blocks, written and read again."""
+    v = StringList.sorted(_t(spark, d, "customer"), "c_name", ratio=8)
+    return StringList.decode(materialize(v.encode(), "coded-blocks"), v.ratio)
+
+
+@query("SELECT row_number() OVER (ORDER BY p_name) - 1 AS idx, p_name AS s FROM part")
+def rcl_save_load(spark, d):
+    """A list saved and loaded."""
+    path = new_path(spark, "saved-list")
+    lines.save(_names(spark, d), path)
+    return lines.load(spark, StringList, path).rows
+
+
+@query("SELECT c_name AS value FROM customer")
+def read_compressed_lines(spark, d):
+    """Lines of a compressed text file."""
+    path = new_path(spark, "lines")
+    _t(spark, d, "customer").select("c_name").write.option("compression", "gzip").text(path)
+    return lines.read_lines(spark, path)
+
+
 @query("WITH p AS (SELECT DISTINCT o_orderpriority AS s FROM orders), n AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS j FROM p) SELECT o_orderkey AS i, j, s FROM orders JOIN n ON s = o_orderpriority")
 def mrcl_get(spark, d):
     o = _t(spark, d, "orders")
@@ -498,6 +601,59 @@ def signed_get(spark, d):
     return func.signed_get(m.table.withColumnRenamed("rank", "value"), _t(spark, d, "part").select(F.col("p_partkey").alias("q")), "q")
 
 
+def _prefix_ranks(spark, d, two_step: bool) -> DataFrame:
+    o = _t(spark, d, "orders")
+    ranks = static.PrefixRank.build(func.MonotoneRank.build(o.select((F.col("o_orderkey") * 1_000_003 % 104_729 * 64 + F.col("o_orderkey")).alias("k")), "k"), two_step)
+    return ranks.get(o.select("o_orderkey", (F.col("o_orderkey") * 1_000_003 % 104_729 * 64 + F.col("o_orderkey")).alias("k")), "k").select(F.col("o_orderkey").alias("q"), "rank")
+
+
+_SCATTERED = "SELECT o_orderkey AS q, row_number() OVER (ORDER BY o_orderkey * 1000003 % 104729 * 64 + o_orderkey) - 1 AS rank FROM orders"
+
+
+@query(_SCATTERED)
+def mmphf_prefix_get(spark, d):
+    """Ranks of scattered keys from the bits that a bucket's keys share."""
+    return _prefix_ranks(spark, d, False)
+
+
+@query(_SCATTERED)
+def mmphf_prefix2_get(spark, d):
+    """The same with the numbers of shared bits behind a two-step function."""
+    return _prefix_ranks(spark, d, True)
+
+
+@query("SELECT c_custkey AS q, c_nationkey::BIGINT AS value FROM customer")
+def packed_function_rebuild(spark, d):
+    """A function from stored signatures."""
+    c = _t(spark, d, "customer")
+    store = materialize(static.PackedFunction.signatures(c, "c_custkey", "c_nationkey"), "signatures")
+    return static.PackedFunction.from_signatures(store).get(c.select(F.col("c_custkey").alias("q")), "q")
+
+
+@query("SELECT count(*) AS keys, 8 AS bits FROM customer WHERE c_acctbal < 0")
+def filter_metadata(spark, d):
+    f = static.PackedFilter.build(_t(spark, d, "customer").where("c_acctbal < 0"), "c_custkey", 8)
+    return spark.createDataFrame([(f.function.n, f.bits)], "keys long, bits int")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def filter_absent(spark, d):
+    keys = _t(spark, d, "customer").where("c_acctbal < 0")
+    return filters.absent(keys, "c_custkey", _t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey").select("o_orderkey")
+
+
+@query("SELECT event_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def stream_contains(spark, d):
+    """A stream of events against a static set of users."""
+    events = _t(spark, d, "events").select("event_id", "user_id")
+    feed, out, state = (new_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    events.write.parquet(feed)
+    stream = spark.readStream.schema(events.schema).parquet(feed)
+    kept = lookups.stream_filter(stream, "user_id", _t(spark, d, "customer").where("c_acctbal < 0"), "c_custkey").select("event_id")
+    kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kept.schema).parquet(out)
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def filter_contains(spark, d):
     keys = _t(spark, d, "customer").where("c_acctbal < 0")
@@ -536,6 +692,22 @@ def partial_array_get(spark, d):
     return a.get(spark.range(3 * n).withColumnRenamed("id", "pos"), "pos")
 
 
+@query("SELECT i AS pos, p_name AS v FROM range((SELECT count(*) FROM part)) r(i) LEFT JOIN part ON i = p_partkey")
+def partial_array_dense(spark, d):
+    """Every position has a value."""
+    rows = _t(spark, d, "part")
+    n = rows.count()
+    return lists.PartialArray.build(rows, "p_partkey", "p_name", n).get(spark.range(n).withColumnRenamed("id", "pos"), "pos")
+
+
+@query("SELECT p_partkey AS i, p_size::BIGINT AS val FROM part")
+def psil_from_sums(spark, d):
+    """A list from sums that are given."""
+    v = lists.PrefixSumList.build(_t(spark, d, "part"), "p_partkey", "p_size")
+    w = lists.PrefixSumList.from_sums(v.sums, "idx", "sum")
+    return w.get(spark.range(w.n).withColumnRenamed("id", "i"), "i")
+
+
 @query("WITH w AS (SELECT p_partkey AS idx, length(bin(p_size - 1 + 1)) - 1 AS w FROM part), n AS (SELECT count(*) AS n FROM part) SELECT idx, coalesce(sum(w) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin FROM (SELECT * FROM w UNION ALL SELECT n, 0 FROM n)")
 def cil_delimiters(spark, d):
     return lists.CompactList.build(_t(spark, d, "part"), "p_partkey", "p_size", 1).delimiters()
@@ -589,10 +761,10 @@ def fair_chunks(spark, d):
     return chunks.fair_chunks(w, "c_custkey", "w", 2000)
 
 
-@query(None)
+@query("SELECT p_partkey AS system, eq, ((p_size >> eq::INT) & 1)::BIGINT AS c FROM part, range(3) t(eq)")
 def f2_solve(spark, d):
-    """For every nation, three equations over its key's neighbours."""
-    n = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("system"))
-    terms = n.select("system", F.explode(F.expr("array(named_struct('eq', 0, 'var', 0), named_struct('eq', 0, 'var', 1), named_struct('eq', 1, 'var', 1), named_struct('eq', 1, 'var', 2), named_struct('eq', 2, 'var', 2))")).alias("t")).select("system", "t.eq", F.col("t.var").cast("long").alias("var"))
-    constants = n.select("system", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("eq")).select("system", "eq", ((F.col("system") + F.col("eq")) % 2).cast("long").alias("c"))
-    return f2.solve_systems(terms, constants)
+    """For every part, three equations whose constants are bits of its size; each equation's sum over the solution is its constant."""
+    p = _t(spark, d, "part").select(F.col("p_partkey").cast("long").alias("system"), "p_size")
+    terms = p.select("system", F.explode(F.expr("array(named_struct('eq', 0L, 'var', 0L), named_struct('eq', 0L, 'var', 1L), named_struct('eq', 1L, 'var', 1L), named_struct('eq', 1L, 'var', 2L), named_struct('eq', 2L, 'var', 2L))")).alias("t")).select("system", "t.eq", "t.var")
+    constants = p.select("system", "p_size", F.explode(F.expr("sequence(0L, 2L)")).alias("eq")).select("system", "eq", F.getbit(F.col("p_size").cast("long"), F.col("eq").cast("int")).cast("long").alias("c"))
+    return terms.join(f2.solve_systems(terms, constants), ["system", "var"]).groupBy("system", "eq").agg(F.bit_xor("value").alias("c"))

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import materialize
 from .html import main_text
-from .media import media_features, store
+from .media import media_features, pixel_arrays, store
 from .mixing import mix
 from .neardup import NearSpec, near_duplicates
 from .packing import pack
@@ -37,7 +38,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(store(table(spark, sf_dir, "documents")))
+    stored = materialize(store(table(spark, sf_dir, "documents")), "media", "none")
+    return media_features(pixel_arrays(stored))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

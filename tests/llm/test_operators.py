@@ -82,14 +82,14 @@ def test_word_hashes():
 
 
 def test_media(docs, empty):
-    got = media.media_features(media.store(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+    got = media.media_features(media.pixel_arrays(media.store(docs))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
     want = []
     for i, t, *_ in ROWS:
         raw = (t or "").encode()
         p = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         want.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])))
     assert collected(got) == sorted(want, key=repr)
-    assert media.media_features(media.store(empty)).isEmpty()
+    assert media.media_features(media.pixel_arrays(media.store(empty))).isEmpty()
     frames = media.read_media(media.store(docs.where("doc_id = 6"))).first()
     assert frames.width == 576 and len(frames.pixels) == 4 * 576 * frames.height
 

@@ -145,6 +145,48 @@ def test_packing_stage(stages):
         assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] & (ends[-1] - 1) == 0 and ends[-1] <= 1024
 
 
+CLASHES = "score string, gone long, twice long, k1 long, new string, row string, size long, sid int, h long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Null and repeated ids, whole rows repeated, null, empty and long texts, extra columns, an empty table."""
+    d = tmp_path_factory.mktemp("odd")
+    good, long = [sentence(70) for _ in range(6)], sentence(20_000)
+    rows = [(i, t, "en", "s0", len(t)) for i, t in enumerate(good)]
+    rows += [rows[0], rows[0], (None, sentence(50), None, None, None), (None, good[1], None, None, 5), (2, sentence(40), "en", "s1", 1)]
+    rows += [(20, None, None, None, None), (21, "", "en", "s0", 0), (22, long, "en", None, len(long))]
+    extra = tuple(None if c.split()[1] == "string" else 7 for c in CLASHES.split(", "))
+    df = spark.createDataFrame([r + extra for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + CLASHES)
+    spark.createDataFrame([(i, 1, 0) for i in range(6)] + [(50, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+    return materialize(df, "odd"), str(d)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_rows(spark, odd, name):
+    """Every stage alone: extra columns are carried, no row is lost but by its rule, an empty table gives an empty result."""
+    df, d = odd
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, df, d)
+    assert stage(spark, df.limit(0), d).isEmpty()
+    rows = out.collect()
+    if name == "packing":
+        assert sum(r.length for r in rows if r.start == 0) and len({r.doc_id for r in rows}) == len({r.doc_id for r in df.collect()})
+        return
+    assert out.columns == df.columns and out.schema.simpleString() == df.schema.simpleString()
+    ids = Counter(r.doc_id for r in rows)
+    if name == "quality":  # a part of the rows, none twice
+        assert not ids - Counter(r.doc_id for r in df.collect())
+    elif name == "near_duplicates":  # an id once, null ids always
+        assert ids == Counter({None: 2} | dict.fromkeys([0, 1, 2, 3, 4, 5, 20, 21, 22], 1))
+    elif name == "repeated_passages":  # every row stays, repeats lose all their words
+        assert ids == Counter(r.doc_id for r in df.collect())
+        assert [r.text for r in rows if r.doc_id == 0] == ["", "", ""]
+    else:
+        assert ids.keys() <= {r.doc_id for r in df.collect()} - {20, 21} and rows
+    assert all(r.h == 7 and r.size == 7 for r in rows)
+
+
 def test_run_equals_stages(spark, stages):
     out, _, d = stages
     assert sorted(map(tuple, corpus_pipeline.run(spark, d).collect())) == sorted(map(tuple, out[5].collect()))

@@ -388,7 +388,7 @@ def test_periodic_texts(spark):
 def test_hot_prints(spark, monkeypatch):
     monkeypatch.setattr(substring, "HOT_PRINT", 3)
     shared = sentence(50)
-    rows = [(i, sentence(20) + " " + shared + " " + sentence(20)) for i in range(12)]
+    rows = [(i, f"{sentence(19)} before{i} {shared} after{i} {sentence(19)}") for i in range(12)]  # no two share the words next to the passage
     want = {i: len(t.split()) - len(k) for (i, t), k in zip(rows, brute_substring([t.split() for _, t in rows]))}
     got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_removed for r in got} == want and set(want.values()) == {50}

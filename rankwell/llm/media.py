@@ -1,6 +1,6 @@
 """Media columns: payloads stored as lossless WebP, and stored files read back to pixels.
 
-``store`` turns payload bytes into images, ``pixel_arrays`` reads the stored
+``store`` turns payload bytes into grey images, ``pixel_arrays`` reads the stored
 files back to arrays of samples; ``read_media`` decodes any lossless WebP files of
 a column into ARGB pixels.
 """
@@ -34,15 +34,24 @@ def payload_of(text: str | None) -> bytes:
     return raw + bytes([FILL]) * (-len(raw) % UNIT if raw else UNIT)
 
 
-def encode_payload(payload: bytes) -> bytes:
-    """One file after another, each a grey image of at most webp.MAX_SIDE rows of UNIT samples.
+def encode_rows(payload: bytes) -> bytes:
+    """One file after another, each a grey image of UNIT samples a row; payloads of any length have this one form.
 
-    A payload of one UNIT that is mostly fill (two thirds or more at its end) is a colour image instead.
+    A file ends at webp.MAX_SIDE rows, the most that its header can hold.
     """
     samples, step = np.frombuffer(payload, np.uint8), UNIT * webp.MAX_SIDE
+    return b"".join(webp.encode_grey(samples[i : i + step], UNIT) for i in range(0, len(samples), step))
+
+
+def encode_payload(payload: bytes) -> bytes:
+    """As :func:`encode_rows`, but a payload of one UNIT that is mostly fill (two thirds or more at its end) is a colour image.
+
+    Not for :func:`store`: its form depends on the length of the text.
+    """
+    samples = np.frombuffer(payload, np.uint8)
     if len(payload) == UNIT and (samples[UNIT // 3 :] == FILL).all():
         return webp.encode_colour(samples, COLOUR_WIDTH)
-    return b"".join(webp.encode_grey(samples[i : i + step], UNIT) for i in range(0, len(samples), step))
+    return encode_rows(payload)
 
 
 def files(media: bytes) -> Iterator[bytes]:
@@ -55,7 +64,7 @@ def files(media: bytes) -> Iterator[bytes]:
 
 
 def decode_payload(media: bytes) -> tuple[bytes, int, int]:
-    """(samples, width, rows) of :func:`encode_payload`'s files; grey ones are known by their width."""
+    """(samples, width, rows) of :func:`encode_rows`'s or :func:`encode_payload`'s files; grey ones are known by their width."""
     parts = []
     for f in files(media):
         width, _, pixels = webp.decode(f)
@@ -95,7 +104,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, weight: int) -> Iterator[
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): every whole text as WebP files.
+    """(id, n_bytes, media): every whole text as WebP files, all of the form of :func:`encode_rows`.
 
     A null or empty text is a payload of FILL only; null and repeated ids are kept;
     other columns are ignored; texts of any length are stored whole.
@@ -110,7 +119,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             def rows(b=b):
                 for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                     text = t.as_py()
-                    yield i, len((text or "").encode("utf-8", "surrogatepass")), encode_payload(payload_of(text))
+                    yield i, len((text or "").encode("utf-8", "surrogatepass")), encode_rows(payload_of(text))
 
             yield from _batches(rows(), schema, 2)
 

@@ -20,6 +20,8 @@ LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 #: The neighbours behind distance codes 1 to 120: (left, up), nearest first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 LENGTH_CODES, DISTANCE_CODES = 24, 40
+#: The farthest back-reference: its code, 120 more, fits the last distance symbol.
+FARTHEST = (1 << 20) - 120
 BLACK = 0xFF000000
 #: The encoder's shortest match, and of its anchors, about one in so many positions.
 WINDOW, ANCHORS = 24, 16
@@ -582,7 +584,7 @@ def _split(value: int) -> tuple[int, int, int]:
 
 
 def find_matches(a: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, length, distance) of repeats of WINDOW values or more, left to right.
+    """(start, length, distance) of repeats of WINDOW values or more, FARTHEST back at most, left to right.
 
     Windows whose hash falls in one of ANCHORS classes are sorted; equal
     neighbours are extended both ways.
@@ -605,9 +607,9 @@ def find_matches(a: np.ndarray) -> list[tuple[int, int, int]]:
     pairs = sorted(zip(at[order[1:][same]].tolist(), at[order[:-1][same]].tolist()))
     out, done = [], 0
     for p, q in pairs:
-        if p < done:
-            continue
         d = p - q
+        if p < done or d > FARTHEST:
+            continue
         back = min(q, p - done, 256)
         if back:
             differs = np.flatnonzero(a[p - back : p] != a[q - back : q])

@@ -94,6 +94,20 @@ def test_media(docs, empty):
     assert frames.width == 576 and len(frames.pixels) == 4 * 576 * frames.height
 
 
+def test_media_one_form(spark):
+    """Texts of every length around a third of a row, one row and more are stored in the same form, the smaller one."""
+    texts = [None, ""] + [("word " * 300)[:n] for n in (1, 191, 192, 193, 575, 576, 577, 1400)]
+    stored = media.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = {r.doc_id: r for r in media.pixel_arrays(stored).collect()}
+    frames = {r.doc_id: r for r in media.read_media(stored).collect()}
+    for i, t in enumerate(texts):
+        payload = media.payload_of(t)
+        assert (frames[i].width, frames[i].height) == (576, len(payload) // 576)
+        assert frames[i].pixels[1::4] == frames[i].pixels[::4] == frames[i].pixels[2::4] == payload == rows[i].pixels
+        assert len(rows[i].media) <= len(media.encode_payload(payload))
+    assert rows[0].media == rows[1].media
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return queries.tokenizer_path()

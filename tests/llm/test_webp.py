@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from rankwell.llm import webp
-from rankwell.llm.media import decode_payload, encode_payload, feature, payload_of
+from rankwell.llm.media import decode_payload, encode_payload, feature, files, payload_of
 
 RNG = np.random.default_rng(5)
 
@@ -227,6 +227,17 @@ def test_which_image():
     assert webp.decode(encode_payload(payload_of("x" * 193)))[:2] == (576, 1)
 
 
+@pytest.mark.parametrize("over", [0, 1, 5000])
+def test_far_repeats(over):
+    """A repeat at and beyond the farthest back-reference, in a payload of two files."""
+    head = bytes(RNG.integers(97, 123, 3000, dtype=np.uint8))
+    noise = bytes(RNG.integers(32, 97, webp.FARTHEST - len(head) + over, dtype=np.uint8))
+    payload = payload_of((head + noise + head).decode() + "z" * (576 * webp.MAX_SIDE - webp.FARTHEST))
+    media = encode_payload(payload)
+    parts = list(files(media))
+    assert [webp.decode(f)[0] for f in parts] == [576, 576] and decode_payload(media) == (payload, 576, len(payload) // 576)
+
+
 def test_broken_files():
     good = webp.encode_grey(RNG.integers(0, 200, 576 * 3, dtype=np.uint8), 576)
     for bad in (b"", b"RIFF", good[:60], b"X" + good[1:]):

@@ -266,6 +266,40 @@ def test_parens(spark):
             parens.matched(spark.createDataFrame(list(enumerate(bad)), "pos long, o boolean"), "pos", "o")
 
 
+def test_parens_over_blocks(spark):
+    """Pairs within and across blocks of positions, nested deeper than a block is long, with gaps in the numbering."""
+    rng = random.Random(21)
+    s = [True] * 70000 + [False] * 100
+    while len(s) < 200000:
+        s.append(rng.random() < 0.5)
+    s += [False] * (2 * sum(s) - len(s))
+    assert len(s) > 3 * 65536
+    at = [i + i // 1000 for i in range(len(s))]
+    stack, want = [], []
+    for i, o in zip(at, s):
+        if o:
+            stack.append(i)
+        else:
+            want.append((stack.pop(), i, len(stack) + 1))
+    got = parens.matched(spark.createDataFrame(list(zip(at, s)), "pos long, o boolean"), "pos", "o")
+    assert rows(got, "open_pos", "close_pos", "depth") == sorted(want)
+    with pytest.raises(BuildError, match="repeated"):
+        parens.matched(spark.createDataFrame([(0, True), (0, True), (1, False), (2, False)], "pos long, o boolean"), "pos", "o")
+
+
+def test_parens_shuffle_words(spark):
+    """No stage reads the positions one by one: what a task sorts or groups is a word of 64 of them, or a block's rest."""
+    n = 400000
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    known = {stages().apply(i).stageId() for i in range(stages().size())}
+    df = spark.range(n).select("id", ((F.col("id") == 0) | (F.col("id") % 2 == 1) & (F.col("id") < n - 1)).alias("o"))
+    assert parens.matched(df, "id", "o").count() == n // 2
+    now = stages()
+    read = [x.shuffleReadRecords() for x in map(now.apply, range(now.size())) if x.stageId() not in known]
+    assert read and 0 < max(read) < n // 16
+
+
 def test_chunks(spark):
     rng = random.Random(11)
     w = [rng.choice([0, 1, 5, 30, 200]) for _ in range(120)]
